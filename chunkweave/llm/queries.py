@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import langid, packing, sentencepieces, simhash
+from chunkweave.llm import cdc_fingerprint, langid, packing, sentencepieces, simhash, substring_dedup
 from chunkweave.llm._util import table
 
 
+def op1_cdc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,7 +36,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cdc_fingerprint": op1_cdc_fingerprint,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_language_id": op10_language_id,
