@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import cdc_fingerprint, langid, packing, secrets, sentencepieces, simhash, substring_dedup, token_store, warc
+from chunkweave.llm import ann, cdc_fingerprint, langid, packing, secrets, sentencepieces, simhash, substring_dedup, token_store, warc
 from chunkweave.llm._util import staging, table
 
 
@@ -24,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cdc_fingerprint": op1_cdc_fingerprint,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nn_descent": op4_nn_descent,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
