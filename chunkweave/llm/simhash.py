@@ -9,6 +9,14 @@ its own queries instead of being broadcast to all of them: a broadcast of all tr
 with the corpus. A shard above SHARD_MAX is split again by blocks of the bits that are left,
 which is exact for the same reason and ends at 2**13 fingerprints at the latest.
 
+similar_documents() is the form for a similarity threshold on word shingles. Texts 0.8 alike differ
+in up to RADIUS of 64 bits, which is too many for bit blocks, so there a shard is the set of texts
+that share one of BANDS min-wise bands of shingles (0.8 alike: all missed with probability 6e-4).
+The shard's BK-tree is searched within RADIUS; where the min-wise signatures of what it finds agree
+to the similarity less MARGIN (four standard errors), the shingle sets decide exactly. A shard
+above SHARD_MAX is cut into slices and every two slices meet in a task of their own, so no link is
+lost and no task grows. Only links that join classes leave a task.
+
 Defined cases. Null, empty and wordless texts have fingerprint 0 and are linked like any other.
 Repeated rows keep their own result row. Null doc_id: never the smallest id of a group unless
 all its ids are null. An empty table gives an empty result. Other columns are ignored.
@@ -17,6 +25,7 @@ all its ids are null. An empty table gives an empty result. Other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +39,12 @@ from chunkweave.llm._util import bounded_batches, components, staged
 SHARD_MAX = 2048
 SEED = 42
 _BLOCK = 1 << 16
+#: Of similar_documents().
+RADIUS, BANDS, ROWS, SIGNATURE, MARGIN = 20, 14, 4, 128, 0.14
+WORDS_MAX = 400_000
+_RANDOM = np.random.default_rng(2)
+_MULT = _RANDOM.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_PERM = _RANDOM.integers(0, 2**63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -180,3 +195,150 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
     of = staged(classed.join(lows, "root").select("fp", "component_id"), "components")
     return d.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_MAX:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+@lru_cache(maxsize=1)
+def _hashes() -> _Hashes:
+    return _Hashes()
+
+
+def _shingles(w: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the word shingles in order; of fewer words the one of the whole sequence."""
+    h = np.fromiter(map(_hashes().__getitem__, w), np.uint64, len(w))
+    n = max(1, len(h) - words + 1) if len(h) else 0
+    grams = np.zeros(n, np.uint64)
+    for j in range(min(words, len(h))):
+        grams += h[j : j + n] * _MULT[j]
+    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return grams ^ (grams >> np.uint64(32))
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique((_shingles(text.lower().split(), words) >> np.uint64(16)).astype("<u4"))
+
+
+def signature(text: bytes, words: int) -> tuple[bytes, int, np.ndarray]:
+    """Class of equal word sequences, SimHash, and min-wise signature (uint32) of a text's word shingles."""
+    w = text.lower().split()
+    same = xxhash.xxh3_128_digest(b" ".join(w))
+    grams = _shingles(w, words)
+    n = len(grams)
+    if not n:
+        return same, 0, np.zeros(SIGNATURE, np.uint32)
+    ones = np.zeros(64, np.int64)
+    low = np.full(SIGNATURE, 2**32 - 1, np.uint32)
+    for at in range(0, n, 1024):
+        part = grams[at : at + 1024]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        low = np.minimum(low, ((part[:, None] * _PERM[0] + _PERM[1]) >> np.uint64(32)).astype(np.uint32).min(0))
+    return same, int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), low
+
+
+def alike_links(ids: list[int], fps: list[int], sigs: np.ndarray, sets: list[np.ndarray], sides: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links between texts that join classes; with two sides only texts of different sides are compared."""
+    parent, out, two = list(range(len(ids))), [], len(set(sides)) > 1
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    trees: dict[int, tuple[BKTree, dict[int, list[int]]]] = {}
+    for i, x in enumerate(fps):
+        for side, (tree, at) in trees.items():
+            if two and side == sides[i]:
+                continue
+            mine = root(i)
+            near = [j for k in tree.within(x, RADIUS) for j in at[k] if root(j) != mine]
+            if near:
+                agree = (sigs[near] == sigs[i]).mean(1)
+                for j, a in zip(near, agree.tolist(), strict=True):
+                    if a >= similarity - MARGIN and (r := root(i)) != (q := root(j)):
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                            parent[max(r, q)] = min(r, q)
+                            out.append((ids[i], ids[j]))
+        tree, at = trees.setdefault(sides[i], (BKTree(), {}))
+        known = next((k for k in tree.within(x, 0)), None)
+        at.setdefault(tree.add(x) if known is None else known, []).append(i)
+    return out
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each class one row of docs(doc_id, text, ...), that with the smallest doc_id (null last, ties to either).
+
+    Texts are shuffled twice: those that share a shard to have their shingle sets sent there, and
+    the survivors. The rest is narrow.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, fps, sigs, bands = [], [], [], []
+            for text in b.column(2).to_pylist():
+                s, f, low = signature(text or b"", words)
+                same.append(s)
+                fps.append(f)
+                sigs.append(low.astype("<u2").tobytes())
+                bands.append([xxhash.xxh3_64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) >> 1 for i in range(BANDS)])
+            more = [pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["key", "doc_id", "same", "fp", "sig", "bands"])
+
+    text = F.encode("text", "UTF-8").alias("b")
+    signed = keyed.select(F.col("_key").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text)
+    rows = staged(signed.mapInArrow(sign, "key long, doc_id long, same binary, fp long, sig binary, bands array<long>"), "signed")
+    firsts = staged(rows.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("low")).select("low", F.col("low.key").alias("node")), "classes")
+    reps = rows.join(firsts.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    reps = staged(reps.select(F.col("key").alias("node"), "fp", "sig", "bands"), "representatives")
+    banded = reps.select("node", F.explode("bands").alias("k"))
+    sizes = banded.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    held = banded.join(sizes, "k").withColumn("slices", F.ceil(F.col("n") / SHARD_MAX).cast("int"))
+    held = staged(held.withColumn("s", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")), "shards")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t or b"", words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    needed = keyed.select(F.col("_key").alias("node"), text).join(held.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+    # Every slice with itself and with every other one; `side` tells the two apart.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda t: F.struct(F.least("s", t).alias("a"), F.greatest("s", t).alias("b"), F.when(F.col("s") == t, 0).otherwise((F.col("s") > t).cast("int")).alias("side")))
+    met = held.select("node", "k", F.explode(pairs).alias("p")).select("node", "k", "p.a", "p.b", "p.side")
+    names = ["k", "a", "b", "node", "fp", "sig", "set", "side"]
+    sent = met.join(reps.select("node", "fp", "sig").join(needed, "node"), "node").repartition(parts, "k", "a", "b").sortWithinPartitions("k", "a", "b").select(*names)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(have: list[tuple]) -> list[tuple[int, int]]:
+            if len(have) < 2:
+                return []
+            sigs = np.frombuffer(b"".join([r[5] for r in have]), "<u2").reshape(len(have), -1)
+            return alike_links([r[3] for r in have], [r[4] & (2**64 - 1) for r in have], sigs, [np.frombuffer(r[6], "<u4") for r in have], [r[7] for r in have], similarity)
+
+        key, have = None, []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if key != row[:3]:
+                    out += found(have)
+                    key, have = row[:3], []
+                have.append(row)
+            flat = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["u", "v"])
+        flat = np.array(found(have), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["u", "v"])
+
+    roots = components(sent.mapInArrow(link, "u long, v long"))
+    classed = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
+    kept = staged(classed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("_key")), "kept")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

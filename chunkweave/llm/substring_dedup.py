@@ -265,12 +265,14 @@ def matches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(index, schema).repartition(blocks, "block").mapInArrow(answer, "doc_id long, mark long, spans binary")
 
 
-def _parsed(docs: DataFrame, schema: str, of) -> DataFrame:
-    """of(text, words, spans) for every row; schema starts with doc_id long."""
+def _parsed(docs: DataFrame, schema: str, of, carry: list[str] | None = None) -> DataFrame:
+    """of(text, words, spans) for every row, beside the columns to carry; schema starts with doc_id long."""
+    carry = carry or []
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.hash("text"), F.lit(0)).cast("long").alias("mark"), F.lit(1).alias("kind"), F.encode("text", "UTF-8").alias("b"))
-    found = matches(docs).select("doc_id", "mark", F.lit(0).alias("kind"), F.col("spans").alias("b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.hash("text"), F.lit(0)).cast("long").alias("mark"), F.lit(1).alias("kind"), F.encode("text", "UTF-8").alias("b"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
+    types = [docs.schema[c].dataType for c in carry]
+    found = matches(docs).select("doc_id", "mark", F.lit(0).alias("kind"), F.col("spans").alias("b"), *(F.lit(None).cast(t).alias(f"_{i}") for i, t in enumerate(types)))
     dealt = found.union(texts).repartition(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "kind")
     fields = [c.split() for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -280,6 +282,8 @@ def _parsed(docs: DataFrame, schema: str, of) -> DataFrame:
         key, have = None, []
         for b in batches:
             out: list[tuple] = []
+            own = b.column(2).to_numpy() == 1
+            carried = [b.column(4 + i).filter(pa.array(own)) for i in range(len(carry))]
             for doc, mark, kind, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if key != (doc, mark):
                     key, have = (doc, mark), []
@@ -289,9 +293,11 @@ def _parsed(docs: DataFrame, schema: str, of) -> DataFrame:
                     spans = np.frombuffer(b"".join(have), _SPAN) if have and doc is not None else none
                     out.append((doc, *of(data or b"", (data or b"").split(), spans)))
             cols = list(zip(*out, strict=True)) or [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)), *carried], [*(n for n, _ in fields), *(f"_{i}" for i in range(len(carry)))])
 
-    return dealt.mapInArrow(run, schema)
+    more = "".join(f", _{i} {t.simpleString()}" for i, t in enumerate(types))
+    out = dealt.mapInArrow(run, schema + more)
+    return out.select(*(n for n, _ in fields), *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def covered(n: int, factors: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -321,9 +327,9 @@ def digests(docs: DataFrame) -> DataFrame:
     return _parsed(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", _digest)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, text, factors) for every row; untouched texts stay as they are.
+def deduplicated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, text, factors, *carry) for every row; untouched texts stay as they are.
 
     factors: `first word,words,reference document,its first word`, joined by semicolons.
     """
-    return _parsed(docs, "doc_id long, n_words long, n_removed long, text string, factors string", _kept)
+    return _parsed(docs, "doc_id long, n_words long, n_removed long, text string, factors string", _kept, carry)
