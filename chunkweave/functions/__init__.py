@@ -1 +1 @@
-"""."""
+"""Column functions: chunking, hashing, names and the restore cost model."""

@@ -1 +1 @@
-"""."""
+"""Incremental deduplication with Structured Streaming."""
