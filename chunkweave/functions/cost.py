@@ -19,7 +19,7 @@ def rate_bps(text: Column) -> Column:
     """`100mbit`, `1.5gbit`, `9600bps`, `8kbit` in bits a second; null for other texts."""
     number = F.regexp_extract(F.lower(F.trim(text)), r"^([0-9.]+)\s*(?:gbit|mbit|kbit|bit|bps)$", 1)
     unit = F.regexp_extract(F.lower(F.trim(text)), r"^[0-9.]+\s*(gbit|mbit|kbit|bit|bps)$", 1)
-    return F.expr("try_cast(1 as double)") * number.try_cast("double") * F.when(unit == "gbit", 1e9).when(unit == "mbit", 1e6).when(unit == "kbit", 1e3).when(unit.isin("bit", "bps"), 1.0)
+    return number.try_cast("double") * F.when(unit == "gbit", 1e9).when(unit == "mbit", 1e6).when(unit == "kbit", 1e3).when(unit.isin("bit", "bps"), 1.0)
 
 
 def duration_s(text: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 # Fixed values of the hash definitions.
 FNV_BASIS, FNV_PRIME = 14695981039346656037, 1099511628211
@@ -44,7 +45,7 @@ def jump(key: int, buckets: int) -> int:
     return at
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def fnv1a_64(s: pd.Series) -> pd.Series:
     from decimal import Decimal
 

@@ -40,7 +40,7 @@ def extension(path: Column) -> Column:
 
 
 def sanitised(name: Column) -> Column:
-    clean = F.expr("1") if name is None else F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._]+", "-"), r"^[-.]+|[-.]+$", "")
+    clean = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._]+", "-"), r"^[-.]+|[-.]+$", "")
     return F.when(clean == "", "file").otherwise(clean)
 
 
