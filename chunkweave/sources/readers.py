@@ -157,7 +157,7 @@ def popularity(spark: SparkSession, path: str) -> DataFrame:
 def recipe(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, fp) of recipe texts: one fingerprint a line, blank lines dropped, order kept."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("file", F.posexplode(lines).alias("seq", "fp")).withColumn("seq", F.col("seq").cast("long"))
 
 
@@ -223,7 +223,7 @@ def global_index(spark: SparkSession, path: str) -> DataFrame:
 def request_fields(line: Column) -> tuple[Column, Column, Column]:
     """arrival_s, input and output of a request line: `in`, `in out`, `t in`, `t in out`, by tabs or else by white space."""
     text = F.trim(line)
-    by = F.when(F.instr(text, "\t") > 0, F.transform(F.split(text, "\t"), F.trim)).otherwise(F.split(text, r"\s+"))
+    by = F.when(F.instr(text, "\t") > 0, F.transform(F.split(text, "\t"), lambda x: F.trim(x))).otherwise(F.split(text, r"\s+"))
     timed = (F.size(by) >= 2) & by[0].rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     at = F.when(timed, 1).otherwise(0)
     return F.when(timed, by[0].try_cast("double")), F.get(by, at), F.coalesce(F.get(by, at + 1), F.lit(""))
