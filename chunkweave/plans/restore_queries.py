@@ -88,7 +88,7 @@ def node_parts(c: Corpus) -> DataFrame:
 _NODE = "SELECT node, CASE WHEN node > 0 THEN 'edge' || node ELSE 'cloud' END AS id, CAST(sum(batches) AS BIGINT) AS batches, CAST(sum(chunks) AS BIGINT) AS chunks_requested, CAST(sum(bytes) AS BIGINT) AS bytes_returned, sum(batches) * 0.002 AS rpc_s FROM fetched GROUP BY node"
 
 
-@query("s099_node_stats_merge", sql(_FETCH, f"SELECT node, id, batches, chunks_requested, bytes_returned, round(rpc_s, 6) AS rpc_s FROM ({_NODE})"))
+@query("s099_node_stats_merge", sql(_FETCH, f"SELECT node, id, batches, chunks_requested, bytes_returned, round(CAST(rpc_s AS DOUBLE), 6) AS rpc_s FROM ({_NODE})"))
 def _(c: Corpus) -> DataFrame:
     return restore.merged_node_stats(node_parts(c)).select("node", "id", "batches", "chunks_requested", "bytes_returned", *r6("rpc_s"))
 
@@ -105,11 +105,11 @@ def _(c: Corpus) -> DataFrame:
 
 @query("s102_phase_breakdown", """WITH r AS (SELECT event_id AS run, value + 1.0 AS total, value * 0.5 AS a, value * 0.25 AS b, value * 0.125 AS z FROM events WHERE value > 0),
 x AS (SELECT run, total, 1 AS g, 'plan' AS phase, a AS s FROM r UNION ALL SELECT run, total, 2, 'fetch', b FROM r UNION ALL SELECT run, total, 3, 'audit', z FROM r UNION ALL SELECT run, total, 4, 'other', total - a - b - z FROM r WHERE total - a - b - z > 0.001)
-SELECT run, row_number() OVER (PARTITION BY run ORDER BY g) AS "at", phase, round(s, 4) AS seconds, round(s / total * 100, 4) AS pct FROM x""")
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY g) AS "at", phase, round(s, 10) AS seconds, round(s / total * 100, 10) AS pct FROM x""")
 def _(c: Corpus) -> DataFrame:
     v = F.col("value")
     runs = c.table("events").where("value > 0").select(F.col("event_id").alias("run"), (v + 1.0).alias("total_s"), F.create_map(F.lit("audit"), v * 0.125, F.lit("fetch"), v * 0.25, F.lit("plan"), v * 0.5).alias("phases"))
-    return reports.phase_breakdown(runs, ["plan", "fetch", "write"]).select("run", "at", "phase", *(F.round(x, 4).alias(x) for x in ("seconds", "pct")))
+    return reports.phase_breakdown(runs, ["plan", "fetch", "write"]).select("run", "at", "phase", *(F.round(x, 10).alias(x) for x in ("seconds", "pct")))
 
 
 @query("s103_hybrid_elapsed_split", "SELECT event_id, round(value * CASE WHEN user_id > 0 THEN user_id / (user_id + 5.0) ELSE 0 END, 6) AS edge_s, round(value * (1 - CASE WHEN user_id > 0 THEN user_id / (user_id + 5.0) ELSE 0 END), 6) AS cloud_s FROM events")
@@ -256,9 +256,9 @@ def _(c: Corpus) -> DataFrame:
 _U = "((CAST('0x' || substr(sha1('{seed}|' || {key}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
 
 
-@query("s172_poisson_arrivals", "SELECT event_id AS req_id, round(round(sum(-ln(1.0 - " + _U.format(seed=7, key="event_id") + ") / 2.0) OVER (ORDER BY event_id), 6), 4) AS arrival_s FROM events")
+@query("s172_poisson_arrivals", "SELECT event_id AS req_id, round(sum(-ln(1.0 - " + _U.format(seed=7, key="event_id") + ") / 2.0) OVER (ORDER BY event_id), 6) AS arrival_s FROM events")
 def _(c: Corpus) -> DataFrame:
-    return workload.poisson_arrivals(c.table("events").select(F.col("event_id").alias("req_id")), 2.0, 7).select("req_id", F.round("arrival_s", 4).alias("arrival_s"))
+    return workload.poisson_arrivals(c.table("events").select(F.col("event_id").alias("req_id")), 2.0, 7).select("req_id", "arrival_s")
 
 
 @query("s173_paced_replay", sql("d requests", "SELECT req_id, round(greatest(arrival_s - coalesce(lag(arrival_s) OVER (ORDER BY arrival_s, req_id), 0), 0) / 10, 7) AS wait_s FROM requests"))
