@@ -6,10 +6,10 @@ payload. Messages longer than a segment are cut into a first record and continua
 name its identifier. Spark's text writer puts the records, which are UTF-8, into gzip files with
 the record separator between them, so archives can be in any store that Spark writes.
 
-Reading. Whole files are parsed by Content-Length; the records are dealt by origin identifier and
-ordered by segment number; a stream over each group joins the blocks, verifies segment numbers and
-the total length, decodes the chunked framing and holds the payload against its digest. A
-violation raises.
+Reading. Whole files are parsed by Content-Length. A record that is whole by itself is decoded
+where it is read. Segments are dealt by origin identifier and ordered by segment number; a stream
+over each group joins the blocks, verifies segment numbers and the total length, decodes the
+chunked framing and holds the payload against its digest. A violation raises.
 
 Defined cases. A null html is empty. Rows with equal page_id and payload are all of the same kind.
 A null page_id is never revisited while another id has the payload, and stays null. Null or odd
@@ -162,8 +162,19 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every archived page."""
     bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    names = ["origin", "segment", "total", "page_id", "said", "kind", "refers_to", "block"]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    names = ["origin", "segment", "total", "page_id", "said", "kind", "refers_to", "n_bytes", "block"]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+
+    def page(number: int | None, said: str, kind: str, refers: int | None, block: bytes) -> tuple:
+        """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload), the digest verified."""
+        said = said.partition(":")[2]
+        if kind == "revisit":
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in block.split(b"\r\n"))}
+            return (number, int(fields[b"content-length"]), said, kind, refers, None)
+        payload = body(block)
+        if (got := digest(payload)) != said:
+            raise ValueError("a payload doesn't have its digest")
+        return (number, len(payload), got, kind, refers, payload)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda v: None if v is None else int(v)
@@ -171,41 +182,32 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
             for content in b.column(0):
                 out: list[tuple] = []
                 for h, block in parsed(inflated(content.as_py())):
-                    origin = h.get("warc-segment-origin-id", h["warc-record-id"])
-                    out.append((origin, number(h.get("warc-segment-number", 0)), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), h.get("warc-payload-digest"), h["warc-type"], number(h.get("x-refers-to-page-id")), block))
+                    origin, segment = h.get("warc-segment-origin-id", h["warc-record-id"]), int(h.get("warc-segment-number", 0))
+                    fields = (number(h.get("x-page-id")), h.get("warc-payload-digest"), h["warc-type"], number(h.get("x-refers-to-page-id")))
+                    if segment:
+                        out.append((origin, segment, number(h.get("warc-segment-total-length")), *fields, None, block))
+                    else:
+                        _, n, said, _, _, payload = page(*fields, block)
+                        out.append((origin, 0, None, fields[0], said, *fields[2:], n, payload if with_payload else None))
                 cols = list(zip(*out, strict=True)) or [()] * len(names)
                 for at in range(0, max(len(out), 1), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 500], t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    records_ = files.mapInArrow(parse, "origin string, segment int, total long, page_id long, said string, kind string, refers_to long, block binary")
+    records_ = files.mapInArrow(parse, "origin string, segment int, total long, page_id long, said string, kind string, refers_to long, n_bytes long, block binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = records_.repartition(parts, "origin").sortWithinPartitions("origin", "segment")
     result = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
-    def page(first: tuple, block: bytes) -> tuple:
-        _, _, _, number, said, kind, refers, _ = first
-        if kind == "revisit":
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in block.split(b"\r\n"))}
-            return (number, int(fields[b"content-length"]), said.partition(":")[2], kind, refers, None)
-        payload = body(block)
-        if (got := digest(payload)) != said.partition(":")[2]:
-            raise ValueError("a payload doesn't have its digest")
-        return (number, len(payload), got, kind, refers, payload)
-
     def assembled(rows: list[tuple]) -> Iterator[tuple]:
         """Pages of one origin: equal rows have written the same segments more than once."""
-        if rows[0][1] == 0:
-            for r in rows:
-                yield page(r, r[7])
-            return
         copies = sum(r[1] == 1 for r in rows)
         if copies == 0 or len(rows) % copies or [r[1] for r in rows] != [k for k in range(1, len(rows) // copies + 1) for _ in range(copies)]:
             raise ValueError(f"segments of {rows[0][0]} are missing")
-        block = b"".join(r[7] for r in rows[::copies])
+        block = b"".join(r[8] for r in rows[::copies])
         if rows[-1][2] != len(block):
             raise ValueError(f"the segments of {rows[0][0]} aren't as long as they say")
         for r in rows[:copies]:
-            yield page(r, block)
+            yield page(*r[3:7], block)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())[: len(result)]
@@ -218,8 +220,9 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
         for b in batches:
             out: list[tuple] = []
             for row in zip(*(b.column(i).to_pylist() for i in range(len(names))), strict=True):
-                if row[1] == 0:  # whole by itself: nothing to wait for
-                    out.append(page(row, row[7]))
+                if row[1] == 0:  # whole by itself, and decoded already
+                    _, _, _, number, said, kind, refers, n, payload = row
+                    out.append((number, n, said, kind, refers, payload))
                     continue
                 if have and have[0][0] != row[0]:
                     out += assembled(have)
