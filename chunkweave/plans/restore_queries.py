@@ -112,10 +112,10 @@ def _(c: Corpus) -> DataFrame:
     return reports.phase_breakdown(runs, ["plan", "fetch", "write"]).select("run", "at", "phase", *(F.round(x, 10).alias(x) for x in ("seconds", "pct")))
 
 
-@query("s103_hybrid_elapsed_split", "SELECT event_id, round(value * CASE WHEN user_id > 0 THEN user_id / (user_id + 5.0) ELSE 0 END, 6) AS edge_s, round(value * (1 - CASE WHEN user_id > 0 THEN user_id / (user_id + 5.0) ELSE 0 END), 6) AS cloud_s FROM events")
+@query("s103_hybrid_elapsed_split", "SELECT event_id, round(value * CASE WHEN user_id > 0 THEN user_id / (user_id + 5.0) ELSE 0 END, 10) AS edge_s, round(value * (1 - CASE WHEN user_id > 0 THEN user_id / (user_id + 5.0) ELSE 0 END), 10) AS cloud_s FROM events")
 def _(c: Corpus) -> DataFrame:
     e, k = restore.elapsed_split(F.col("value"), F.col("user_id"), F.lit(5), F.lit(1), F.lit(1))
-    return c.table("events").select("event_id", F.round(e, 6).alias("edge_s"), F.round(k, 6).alias("cloud_s"))
+    return c.table("events").select("event_id", F.round(e, 10).alias("edge_s"), F.round(k, 10).alias("cloud_s"))
 
 
 @query("s104_task_counters", "SELECT user_id AS node, event_type AS task, count(*) AS requests, CAST(sum(event_id) AS BIGINT) AS bytes, round(sum(value), 4) AS seconds FROM events GROUP BY ALL")
