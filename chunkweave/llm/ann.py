@@ -93,40 +93,76 @@ def nodes_of(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _block(node: Column | str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
+    """Block of a node; block_of() is the same for arrays."""
+    n = F.col(node) if isinstance(node, str) else node
+    mixed = (n.bitwiseAND(F.lit(0x7FFFFFFF)) * 2654435).bitwiseXOR(F.shiftright(n, 31).bitwiseAND(F.lit(0x7FFFFFFF)))
+    return (F.shiftright(mixed, 11) % blocks).cast("int")
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, own: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The largest, each id once and without own; ties to the smaller id."""
-    order = np.lexsort((ids, -sims))
-    ids, sims = ids[order], sims[order]
-    first = np.sort(np.unique(ids, return_index=True)[1])
-    first = first[ids[first] != own][:size]
-    return ids[first], sims[first]
+def block_of(nodes: np.ndarray, blocks: int) -> np.ndarray:
+    return ((((nodes & 0x7FFFFFFF) * 2654435) ^ ((nodes >> 31) & 0x7FFFFFFF)) >> 11) % blocks
 
 
-def _merged(lists: DataFrame, size: int) -> DataFrame:
-    """One list of each node: (node, ids, sims, fresh), where `old` rows are the lists so far; lists(node, old, ids, sims)."""
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+_PACKED = "block int, old boolean, nodes binary, sizes binary, ids binary, sims binary"
+
+
+def _messages(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, blocks: int, old: bool) -> pa.RecordBatch:
+    """Entries (node, id, sim) with a node's ones together, as one row for each block of nodes."""
+    to = block_of(nodes, blocks)
+    order = np.lexsort((nodes, to))
+    to, nodes, ids, sims = to[order], nodes[order], ids[order], sims[order]
+    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
+    rows = []
+    for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=False):
+        each, sizes = np.unique(nodes[at:end], return_counts=True)
+        rows.append((int(to[at]), old, each.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), ids[at:end].astype("<i8").tobytes(), sims[at:end].astype("<f4").tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "old", "nodes", "sizes", "ids", "sims"])
+
+
+def _packed(lists: DataFrame, blocks: int, old: bool) -> DataFrame:
+    """lists(node, ids, sims) as messages to the nodes' blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sims = ([np.frombuffer(x, kind) for x in b.column(i).to_pylist()] for i, kind in ((1, "<i8"), (2, "<f4")))
+            nodes = np.repeat(b.column(0).to_numpy(), [len(x) for x in ids])
+            yield _messages(nodes, np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*sims, np.zeros(0, np.float32)]), blocks, old)
+
+    return lists.select("node", "ids", "sims").mapInArrow(run, _PACKED)
+
+
+def _merged(messages: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """One list of every node, empty if no message is for it: (node, ids, sims, fresh), fresh being how many ids no `old` message had."""
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = f"{_LIST}, fresh long"
 
+    def fold(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node = np.concatenate([np.repeat(np.frombuffer(r[1], "<i8"), np.frombuffer(r[2], "<i4")) for r in rows])
+        ids, sims = np.concatenate([np.frombuffer(r[3], "<i8") for r in rows]), np.concatenate([np.frombuffer(r[4], "<f4") for r in rows])
+        old = np.repeat([r[0] for r in rows], [len(r[3]) // 8 for r in rows])
+        order = np.lexsort((~old, ids, node))  # an entry that was there before comes before its repeats
+        node, ids, sims, old = node[order], ids[order], sims[order], old[order]
+        keep = np.append(True, (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])) & (ids != node)
+        node, ids, sims, old = node[keep], ids[keep], sims[keep], old[keep]
+        order = np.lexsort((ids, -sims, node))
+        node, ids, sims, old = node[order], ids[order], sims[order], old[order]
+        cut = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else node
+        out = [(int(node[a]), ids[a : min(a + size, z)].tobytes(), sims[a : min(a + size, z)].tobytes(), int((~old[a : min(a + size, z)]).sum())) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(node)], strict=False)]
+        yield from _batches(out, schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (node,), rows in _groups(batches, 1):
-            ids = np.concatenate([np.frombuffer(r[1], "<i8") for r in rows])
-            sims = np.concatenate([np.frombuffer(r[2], "<f4") for r in rows])
-            before = np.concatenate([np.frombuffer(r[1], "<i8") for r in rows if r[0]] or [ids[:0]])
-            ids, sims = _top(ids, sims, node, size)
-            out.append((node, ids.tobytes(), sims.tobytes(), int((~np.isin(ids, before)).sum())))
-            if len(out) == 2000:
-                yield _batch(out, schema)
-                out = []
-        yield _batch(out, schema)
-
-    return lists.select("node", "old", "ids", "sims").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, schema)
-
-
-def _first_lists(nodes: DataFrame, kind: str, n: int) -> DataFrame:
+        for _, rows in _groups(batches, 1):
+            yield from fold(rows)
+
+    lists = messages.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, schema)
+    found = staged(lists, "lists")
+    alone = nodes.select("node").join(found.select("node"), "node", "left_anti")
+    return found.unionByName(alone.select("node", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(0).cast("long").alias("fresh")))
+
+
+def _first_lists(nodes: DataFrame, kind: str, n: int, blocks: int) -> DataFrame:
     """Best neighbours within the cells of random hyperplane trees."""
     bits = max(0, round(np.log2(max(n, 1) / BLOCK)))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -160,12 +196,11 @@ def _first_lists(nodes: DataFrame, kind: str, n: int) -> DataFrame:
             yield from _batches(out, _LIST)
 
     lists = split.select("tree", "cell", "part", "node", "vec").repartition(parts, "tree", "cell", "part").sortWithinPartitions("tree", "cell", "part").mapInArrow(best, _LIST)
-    every = nodes.select("node", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"))  # a node alone in its cells
-    return _merged(lists.union(every).withColumn("old", F.lit(False)), DEGREE)
+    return _merged(_packed(lists, blocks, False), nodes, DEGREE)
 
 
 def _descend(nodes: DataFrame, graph: DataFrame, kind: str, blocks: int) -> DataFrame:
-    """One round: candidates (node, ids, sims) from comparing all members of each host."""
+    """One round: messages of candidates from comparing all members of each host."""
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +213,7 @@ def _descend(nodes: DataFrame, graph: DataFrame, kind: str, blocks: int) -> Data
     edges = graph.select("node", "ids").mapInArrow(ways, "host long, node long").distinct()
     hosts = edges.groupBy("host").agg(F.ceil(F.count("*") / MEMBERS).alias("n")).where("n > 1")
     split = edges.join(hosts, "host", "left").withColumn("part", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("n"))).cast("int"))
-    needed = split.groupBy(_block(F.struct("host", "part"), blocks).alias("block"), "node").agg(F.collect_list(F.struct("host", "part")).alias("hosts"))
+    needed = split.groupBy(F.pmod(F.xxhash64("host", "part"), F.lit(blocks)).cast("int").alias("block"), "node").agg(F.collect_list(F.struct("host", "part")).alias("hosts"))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,25 +245,22 @@ def _descend(nodes: DataFrame, graph: DataFrame, kind: str, blocks: int) -> Data
                 b.append(m[j[keep]])
                 c.append(s[i[keep], j[keep]])
             i, j, s = np.concatenate(a), np.concatenate(b), np.concatenate(c)
-            order = np.lexsort((-s, i))
+            order = np.lexsort((j, -s, i))
             i, j, s = i[order], j[order], s[order]
-            cut = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
-            out = []
-            for at, to in zip(cut.tolist(), [*cut[1:].tolist(), len(i)], strict=False):
-                got, sims = _top(ids[j[at:to]], s[at:to], -1, DEGREE)
-                out.append((int(ids[i[at]]), got.astype("<i8").tobytes(), sims.astype("<f4").tobytes()))
-            yield from _batches(out, _LIST)
+            new = np.append(True, i[1:] != i[:-1])[: len(i)]
+            nth = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+            keep = (nth < 2 * DEGREE) if len(i) else nth > 0  # a pair that met at two hosts is there twice
+            yield _messages(ids[i[keep]], ids[j[keep]], s[keep], blocks, False)
 
-    return sent.mapInArrow(compare, _LIST)
+    return sent.mapInArrow(compare, _PACKED)
 
 
 def neighbour_graph(nodes: DataFrame, kind: str, n: int, blocks: int) -> DataFrame:
     """(node, ids, sims): lists of up to DEGREE neighbours, best first."""
-    graph = staged(_first_lists(nodes, kind, n), "graph")
+    graph = staged(_first_lists(nodes, kind, n, blocks), "graph")
     for _ in range(ROUNDS):
-        found = _descend(nodes, graph, kind, blocks).withColumn("old", F.lit(False))
-        so_far = graph.select("node", "ids", "sims", F.lit(True).alias("old"))
-        nxt = staged(_merged(so_far.unionByName(found), DEGREE), "graph")
+        messages = _packed(graph, blocks, True).unionByName(_descend(nodes, graph, kind, blocks))
+        nxt = staged(_merged(messages, nodes, DEGREE), "graph")
         unstage(graph)
         graph = nxt
         if (graph.agg(F.sum("fresh")).first()[0] or 0) < STILL * n * DEGREE:
