@@ -7,6 +7,7 @@ first file, which keeps communities whole.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,16 +49,34 @@ def pair_distances(chunks: DataFrame, scores: DataFrame, score: str = "heat") ->
 
 def smallest_pairs(pairs: list[tuple[int, int, float]], k: int) -> list[tuple[int, int, float]]:
     """The k smallest in scan order: a smaller one evicts the first of the largest kept and goes to the end."""
-    kept: list[tuple[int, int, float]] = []
+    kept = Closest(k)
     for p in sorted(pairs, key=lambda x: x[:2]):
-        if len(kept) < k:
-            kept.append(p)
-        elif kept:
-            worst = max(range(len(kept)), key=lambda i: (kept[i][2], -i))
-            if p[2] < kept[worst][2]:
-                kept.pop(worst)
-                kept.append(p)
-    return kept
+        kept.add(p)
+    return kept.pairs()
+
+
+class Closest:
+    """The pairs that smallest_pairs keeps, given one by one in scan order."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.n = k, 0
+        self.heap: list[tuple[float, int, tuple[int, int, float]]] = []
+
+    @property
+    def worst(self) -> float:
+        """Pairs from this distance on aren't kept."""
+        return math.inf if len(self.heap) < self.k else -self.heap[0][0] if self.heap else -math.inf
+
+    def add(self, p: tuple[int, int, float]) -> None:
+        entry = (-p[2], self.n, p)
+        if len(self.heap) < self.k:
+            heapq.heappush(self.heap, entry)
+        elif self.heap and p[2] < -self.heap[0][0]:
+            heapq.heapreplace(self.heap, entry)
+        self.n += 1
+
+    def pairs(self) -> list[tuple[int, int, float]]:
+        return [p for _, _, p in sorted(self.heap, key=lambda e: e[1])]
 
 
 def merged_groups(pairs: list[tuple[int, int]]) -> list[list[int]]:
@@ -66,11 +85,12 @@ def merged_groups(pairs: list[tuple[int, int]]) -> list[list[int]]:
     for i, (a, b) in enumerate(pairs):
         if used[i]:
             continue
-        used[i], group = True, [a, b]
+        used[i], group, held = True, [a, b], {a, b}
         for j in range(i + 1, len(pairs)):
-            if not used[j] and (pairs[j][0] in group or pairs[j][1] in group):
+            if not used[j] and (pairs[j][0] in held or pairs[j][1] in held):
                 used[j] = True
-                group += [x for x in pairs[j] if x not in group]
+                group += [x for x in pairs[j] if x not in held]
+                held.update(pairs[j])
         out.append(group)
     return out
 

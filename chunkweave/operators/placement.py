@@ -7,12 +7,13 @@ whole catalog, which is what a sequential selection needs.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.operators import select as S
-from chunkweave.operators.graph import merged_groups, smallest_pairs
+from chunkweave.operators.graph import Closest, merged_groups
 
 #: name -> (value of a file, clusters, selection, placement, protected share)
 METHODS = {
@@ -42,32 +43,46 @@ def method(name: str) -> str:
     return found
 
 
+def closest(files: S.Chunks, value: dict[int, float], k: int) -> list[tuple[int, int, float]]:
+    """The k pairs of least distance under 1, as smallest_pairs keeps them; one file's pairs are in memory at a time."""
+    ids = sorted(files)
+    total = np.array([sum(s for _, s in files[f]) for f in ids], np.int64)
+    worth = np.array([value[f] for f in ids], np.float64)
+    own = np.divide(worth, total, out=np.zeros(len(ids)), where=total != 0)
+    users: dict[int, list[int]] = {}
+    size: dict[int, int] = {}
+    for i, f in enumerate(ids):
+        for c, s in dict(files[f]).items():
+            users.setdefault(c, []).append(i)
+            size[c] = s
+    shared = {c: np.array(u) for c, u in users.items() if len(u) > 1}
+    kept = Closest(k)
+    for i, f in enumerate(ids):
+        mine = [c for c in dict(files[f]) if c in shared]
+        if not mine:
+            continue
+        later = [(x := shared[c])[np.searchsorted(x, i, "right") :] for c in mine]
+        v, at = np.unique(np.concatenate(later), return_inverse=True)
+        if not len(v):
+            continue
+        n = np.bincount(at, np.repeat([size[c] for c in mine], [len(x) for x in later])).astype(np.int64)
+        union = total[i] + total[v] - n
+        good = (union > 0) & (n > 0)
+        v, n, union = v[good], n[good], union[good]
+        distance = 1 - n / union
+        good = ((worth[i] + worth[v]) / union >= np.maximum(own[i], own[v])) & (distance < 1.0) & (distance < kept.worst)
+        for j, d in zip(v[good].tolist(), distance[good].tolist(), strict=True):
+            kept.add((f, ids[j], d))
+    return kept.pairs()
+
+
 def clustered(files: S.Chunks, score: dict[int, float], raw: dict[int, int], k: int, rounds: int) -> tuple[S.Chunks, dict[int, set[int]]]:
     """Files merged by pair distance: in a round the k closest pairs, if there are so many under 1."""
     groups, now = {f: {f} for f in files}, dict(files)
     value = dict(score)
     fresh = max(files, default=0)
     for _ in range(rounds):
-        users: dict[int, list[int]] = {}
-        size = {}
-        for f, cs in now.items():
-            for c, s in dict(cs).items():
-                users.setdefault(c, []).append(f)
-                size[c] = s
-        shared: dict[tuple[int, int], int] = {}
-        for c, fs in users.items():
-            for i, u in enumerate(fs):
-                for v in fs[i + 1 :]:
-                    key = (min(u, v), max(u, v))
-                    shared[key] = shared.get(key, 0) + size[c]
-        total = {f: sum(s for _, s in cs) for f, cs in now.items()}
-        pairs = []
-        for (u, v), n in shared.items():
-            union = total[u] + total[v] - n
-            per = lambda x, b: x / b if b else 0.0
-            if union > 0 and per(value[u] + value[v], union) >= max(per(value[u], total[u]), per(value[v], total[v])) and n:
-                pairs.append((u, v, 1 - n / union))
-        close = smallest_pairs([p for p in pairs if p[2] < 1.0], k)
+        close = closest(now, value, k)
         if len(close) < k:
             break
         gone: set[int] = set()
@@ -108,7 +123,8 @@ def run_cell(files: S.Chunks, info: pd.DataFrame, name: str, ratio: float, nodes
     stored: set[int] = set()
     if selection == "direct":
         kept, stored, used = S.direct_protect(files, heat, protected, capacity, servers)
-        files, capacity = {f: c for f, c in files.items() if f not in kept}, capacity - used
+        admitted = set(kept)
+        files, capacity = {f: c for f, c in files.items() if f not in admitted}, capacity - used
     raw = dict(zip(info["file_id"], info["raw_size"], strict=True))
     groups, of = clustered(files, value, raw, k, rounds) if cluster else (files, {f: {f} for f in files})
     order = {i + 1: g for i, g in enumerate(groups)}
@@ -121,7 +137,7 @@ def run_cell(files: S.Chunks, info: pd.DataFrame, name: str, ratio: float, nodes
     else:
         picked, _ = S.density_select(chunks, {i: total(value, i) for i in order}, capacity, stored, selection == "density")
     for i in sorted(picked):
-        new = S.new_chunks(chunks[i], set(servers.of) | stored)
+        new = S.new_chunks(chunks[i], stored)
         if placing == "fill":
             servers.fill(new)
         else:
@@ -137,19 +153,38 @@ def run_cells(cells: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
     cells(cell, method, ratio, nodes, protect); edges(file_id, seq, chunk_id, size); info(file_id,
     heat, raw_size, gain, gain_parallel, gain_filled, boosted).
     """
-    order = F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "size")))
-    catalog = edges.groupBy("file_id").agg(order.alias("chunks")).join(info, "file_id")
-    rows = F.broadcast(cells).join(catalog, F.lit(True))  # cells are a few settings, and each reads the catalog
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("file_id")
-        files = {int(f): [(int(c["chunk_id"]), int(c["size"])) for c in cs] for f, cs in zip(x["file_id"], x["chunks"], strict=True)}
-        r = x.iloc[0]
-        picked, placed = run_cell(files, x, r["method"], float(r["ratio"]), int(r["nodes"]), None if pd.isna(r["protect"]) else float(r["protect"]))
-        out = [(r["cell"], "file", f, 0) for f in picked] + [(r["cell"], "chunk", c, n) for c, n in sorted(placed.items())]
+    each = F.broadcast(cells)  # cells are a few settings, and each reads the catalog
+    chunks = each.select(F.col("cell").alias("of")).join(edges.select("file_id", "seq", "chunk_id", "size"), F.lit(True))
+    rows = each.join(info, F.lit(True))
+
+    def fold(c: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[str, str, int, int]] = []
+        if len(c):
+            x = x.sort_values("file_id")
+            files = by_file(c, "size")
+            r = x.iloc[0]
+            picked, placed = run_cell(files, x, r["method"], float(r["ratio"]), int(r["nodes"]), None if pd.isna(r["protect"]) else float(r["protect"]))
+            out = [(r["cell"], "file", f, 0) for f in picked] + [(r["cell"], "chunk", k, n) for k, n in sorted(placed.items())]
         return pd.DataFrame(out, columns=["cell", "kind", "id", "node"])
 
-    return rows.groupBy("cell").applyInPandas(fold, "cell string, kind string, id long, node int")
+    return chunks.groupBy("of").cogroup(rows.groupBy("cell")).applyInPandas(fold, "cell string, kind string, id long, node int")
+
+
+def by_file(rows: pd.DataFrame, size: str) -> S.Chunks:
+    """Each file's chunks in order, from rows with file_id, seq, chunk_id and a column of sizes."""
+    rows = rows.sort_values(["file_id", "seq"])
+    out: S.Chunks = {}
+    for f, c, s in zip(rows["file_id"].tolist(), rows["chunk_id"].tolist(), rows[size].tolist(), strict=True):
+        out.setdefault(f, []).append((c, s))
+    return out
+
+
+def edge_only(cell: str, edges: DataFrame, nodes: int) -> DataFrame:
+    """run_cells() of the method `edge_only`, which needs no fold: every file, and chunk after chunk to the next node."""
+    files = edges.select(F.col("file_id").alias("id")).distinct().select(F.lit(cell).alias("cell"), F.lit("file").alias("kind"), F.col("id").cast("long"), F.lit(0).alias("node"))
+    place = ((F.col("id") - 1) % nodes + 1).cast("int")
+    chunks = edges.select(F.col("chunk_id").alias("id")).distinct().select(F.lit(cell).alias("cell"), F.lit("chunk").alias("kind"), F.col("id").cast("long"), place.alias("node"))
+    return files.union(chunks)
 
 
 def hot_input(chunks: DataFrame, requests: DataFrame, ratio: float, only_requested: bool = True) -> tuple[DataFrame, int]:

@@ -111,13 +111,15 @@ def info(c: Corpus) -> DataFrame:
     return rows.select("file_id", "heat", "raw_size", "gain", "gain_parallel", "gain_filled", "boosted")
 
 
+def chunk_edges(c: Corpus) -> DataFrame:
+    return catalog.edges(c.numbered_chunks, c.ids).select("file_id", "seq", "chunk_id", F.col("length").alias("size"))
+
+
 def cells(c: Corpus, names: list[str]) -> DataFrame:
-    """Cells over the hottest 200 files: sequential selections are for one experiment's files, not for a corpus."""
+    """Cells over all files."""
     rows = [(f"{n}@0.2", n, 0.2, NODES, None) for n in names]
     table = c.spark.createDataFrame(rows, "cell string, method string, ratio double, nodes int, protect double")
-    hot = info(c).where("file_id <= 200")
-    edges = catalog.edges(c.numbered_chunks.where("file_id <= 200"), c.ids).select("file_id", "seq", "chunk_id", F.col("length").alias("size"))
-    return placement.run_cells(table, edges, hot)
+    return placement.run_cells(table, chunk_edges(c), info(c))
 
 
 @query("s143_density_methods")
@@ -137,38 +139,39 @@ def _(c: Corpus) -> DataFrame:
 
 @query("s152_trivial_methods")
 def _(c: Corpus) -> DataFrame:
-    return cells(c, ["cloud_only", "edge_only"])
+    """cloud_only selects and places nothing, so it has no rows."""
+    return placement.edge_only("edge_only@0.2", chunk_edges(c), NODES)
 
 
 @query("s166_quota_selection")
 def _(c: Corpus) -> DataFrame:
-    """Budgets as rows; each is solved in a task of its own over the twelve hottest files."""
+    """Budgets as rows; each is solved in a task of its own over all files."""
     vertices, edges = delta(c)
-    v = [(r["id"], r["mu"], r["prize"]) for r in vertices.where("id <= 12").collect()]
-    e = [(r["u"], r["v"], r["cost"]) for r in edges.where("v <= 12").collect()]
-    table = {i: (m, p) for i, m, p in v}
-    total = sum(m for m, _ in table.values())
+    total = vertices.agg(F.sum("mu")).first()[0] or 0
+    budgets = c.spark.range(1, 5).select("id", (F.col("id") * (total // 4)).alias("budget"))
+    v = vertices.select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"), F.col("mu").alias("cost"), "prize")
+    e = edges.select("u", "v", "cost", F.lit(0).cast("long").alias("prize"))
+    rows = F.broadcast(budgets.select(F.col("id").alias("n"))).join(v.union(e), F.lit(True))
 
-    def solve(batches):
-        for b in batches:
-            out = [(int(x), *((r := S.dstp(table, e, int(x)))[:2]), ",".join(map(str, r[2]))) for x in b["budget"]]
-            b = b.iloc[:0].assign(cost=0, prize=0, picked="")
-            yield type(b)(out, columns=["budget", "cost", "prize", "picked"])
+    def solve(b, x):
+        one = x["v"] == 0  # file ids start at 1
+        table = {i: (m, p) for i, m, p in zip(x["u"][one].tolist(), x["cost"][one].tolist(), x["prize"][one].tolist(), strict=True)}
+        links = list(zip(x["u"][~one].tolist(), x["v"][~one].tolist(), x["cost"][~one].tolist(), strict=True))
+        out = [(n, *((r := S.dstp(table, links, n))[:2]), ",".join(map(str, r[2]))) for n in b["budget"].tolist()]
+        return type(b)(out, columns=["budget", "cost", "prize", "picked"])
 
-    budgets = c.spark.range(1, 5).select((F.col("id") * (total // 4)).alias("budget"))
-    return budgets.mapInPandas(solve, "budget long, cost long, prize long, picked string")
+    return budgets.groupBy("id").cogroup(rows.groupBy("n")).applyInPandas(solve, "budget long, cost long, prize long, picked string")
 
 
 @query("s169_budget_fill")
 def _(c: Corpus) -> DataFrame:
-    edges = catalog.edges(c.numbered_chunks.where("file_id <= 200"), c.ids)
-    rows = edges.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "length"))).alias("c"))
-    rows = rows.join(c.heat.select("file_id", F.ceil(F.col("heat") * 1000).cast("long").alias("prize")), "file_id").withColumn("g", F.lit(0))
+    prizes = c.heat.select("file_id", F.ceil(F.col("heat") * 1000).cast("long").alias("prize"))
+    rows = chunk_edges(c).join(prizes, "file_id").withColumn("g", F.lit(0))
 
     def fold(x):
-        files = {int(f): [(int(k["chunk_id"]), int(k["length"])) for k in ks] for f, ks in zip(x["file_id"], x["c"], strict=True)}
+        files = placement.by_file(x, "size")
         total = sum({k: s for ks in files.values() for k, s in ks}.values())
-        picked = S.budget_fill(files, {int(f): int(p) for f, p in zip(x["file_id"], x["prize"], strict=True)}, total // 5)
+        picked = S.budget_fill(files, dict(zip(x["file_id"].tolist(), x["prize"].tolist(), strict=True)), total // 5)
         return type(x)({"rank": range(1, len(picked) + 1), "file_id": picked})
 
     return rows.groupBy("g").applyInPandas(fold, "rank long, file_id long")
