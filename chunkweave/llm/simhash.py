@@ -9,8 +9,8 @@ its own queries instead of being broadcast to all of them: a broadcast of all tr
 with the corpus. A shard above SHARD_MAX is split again by blocks of the bits that are left,
 which is exact for the same reason and ends at 2**13 fingerprints at the latest.
 
-similar_documents() is the form for a similarity threshold on word shingles. Texts 0.8 alike differ
-in up to RADIUS of 64 bits, which is too many for bit blocks, so there a shard is the set of texts
+similar_documents() is the form for a similarity threshold on sets of word shingles; its SimHash takes
+each shingle once, as the similarity does. Texts 0.8 alike differ in up to RADIUS of 64 bits, which is too many for bit blocks, so there a shard is the set of texts
 that share one of BANDS min-wise bands of shingles (0.8 alike: all missed with probability 6e-4).
 The shard's BK-tree is searched within RADIUS; where the min-wise signatures of what it finds agree
 to the similarity less MARGIN (four standard errors), the shingle sets decide exactly. A shard
@@ -226,10 +226,10 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def signature(text: bytes, words: int) -> tuple[bytes, int, np.ndarray]:
-    """Class of equal word sequences, SimHash, and min-wise signature (uint32) of a text's word shingles."""
+    """Class of equal word sequences; SimHash and min-wise signature (uint32) of the set of a text's word shingles."""
     w = text.lower().split()
     same = xxhash.xxh3_128_digest(b" ".join(w))
-    grams = _shingles(w, words)
+    grams = np.unique(_shingles(w, words))
     n = len(grams)
     if not n:
         return same, 0, np.zeros(SIGNATURE, np.uint32)
