@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -35,6 +36,7 @@ def pack(placed: DataFrame, data_bytes: int = 4 << 20, meta_bytes: int = 32 << 1
 
     A node's containers follow one another, so a node is one task; its rows are narrow.
     """
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["path", "seq"])
         at = next_fit(rows["length"].tolist(), data_bytes, meta_bytes, first_id)
@@ -103,38 +105,38 @@ def derived_stats(stats: DataFrame, baseline: DataFrame | None = None) -> DataFr
     )
 
 
-def container_images(packed: DataFrame, data: DataFrame, data_bytes: int = 4 << 20, meta_bytes: int = 32 << 10) -> DataFrame:
-    """(node, container_id, data, meta): a container's bytes, and its big-endian header and entries padded to the meta size."""
-    import struct
-
+def container_images(packed: DataFrame, data: DataFrame, data_bytes: int = 4 << 20, meta_bytes: int = 32 << 10, single_file: bool = False) -> DataFrame:
+    """(node, container_id, image): a container's bytes, then its big-endian header (id, chunks, bytes) and entries
+    (fingerprint, length, offset), padded to the meta size. In the one file of a node the bytes are padded too."""
     rows = packed.join(data.select("fp", "data"), "fp")
 
     def fold(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("offset")
-        head = struct.pack(">IIQ", len(x), 0, int(x["length"].sum()))
-        entries = b"".join(bytes.fromhex(f) + struct.pack(">II", int(o), int(n)) for f, o, n in zip(x["fp"], x["offset"], x["length"], strict=True))
-        return pd.DataFrame([{"node": int(x["node"].iloc[0]), "container_id": int(x["container_id"].iloc[0]), "data": b"".join(x["data"]), "meta": (head + entries).ljust(meta_bytes, b"\0")}])
+        node, cid, body = int(x["node"].iloc[0]), int(x["container_id"].iloc[0]), b"".join(x["data"])
+        meta = struct.pack(">qII", cid, len(x), len(body))
+        meta += b"".join(bytes.fromhex(f) + struct.pack(">II", int(n), int(o)) for f, o, n in zip(x["fp"], x["offset"], x["length"], strict=True))
+        return pd.DataFrame([{"node": node, "container_id": cid, "image": (body.ljust(data_bytes, b"\0") if single_file else body) + meta.ljust(meta_bytes, b"\0")}])
 
-    return rows.groupBy("node", "container_id").applyInPandas(fold, "node int, container_id long, data binary, meta binary")
+    return rows.groupBy("node", "container_id").applyInPandas(fold, "node int, container_id long, image binary")
 
 
-def read_image(images: DataFrame) -> DataFrame:
+def read_image(images: DataFrame, meta_bytes: int = 32 << 10) -> DataFrame:
     """(node, container_id, fp, data): chunks cut out of their containers again, with bounds checked."""
-    import struct
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for node, cid, data, meta in zip(b["node"], b["container_id"], b["data"], b["meta"], strict=True):
-                n, _, size = struct.unpack_from(">IIQ", meta)
-                if size != len(data):
-                    raise ValueError("a container isn't as long as it says")
+            for node, cid, image in zip(b["node"], b["container_id"], b["image"], strict=True):
+                meta = image[-meta_bytes:]
+                own, n, size = struct.unpack_from(">qII", meta)
+                if own != cid or size > len(image) - meta_bytes:
+                    raise ValueError("a container isn't the one or as long as it says")
                 for k in range(n):
                     at = HEADER_BYTES + ENTRY_BYTES * k
-                    offset, length = struct.unpack_from(">II", meta, at + 20)
-                    if offset + length > len(data):
+                    length, offset = struct.unpack_from(">II", meta, at + 20)
+                    if offset + length > size:
                         raise ValueError("a chunk reaches past its container")
-                    out.append((node, cid, meta[at : at + 20].hex(), data[offset : offset + length]))
+                    out.append((node, cid, meta[at : at + 20].hex(), image[offset : offset + length]))
             yield pd.DataFrame(out, columns=["node", "container_id", "fp", "data"])
 
     return images.mapInPandas(run, "node int, container_id long, fp string, data binary")

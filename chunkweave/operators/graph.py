@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkweave.staging import staged
+from chunkweave.staging import numbered, staged
 
 
 def _use(chunks: DataFrame) -> DataFrame:
@@ -134,7 +134,9 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFra
     """(file_id, community): the smallest file reachable; nodes(file_id). Labels jump along themselves, so rounds are few."""
     both = staged(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels = staged(nodes.select("file_id", F.col("file_id").alias("community")), "labels")
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
+        if turn == rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
         near = both.join(labels.withColumnRenamed("file_id", "v"), "v").groupBy("u").agg(F.min("community").alias("low"))
         low = labels.join(near, labels["file_id"] == near["u"], "left").select("file_id", F.least("community", F.coalesce("low", "community")).alias("c"), F.col("community").alias("was"))
         jump = low.select(F.col("file_id").alias("c"), F.col("c").alias("next"))
@@ -166,6 +168,48 @@ def hottest_prefixes(labels: DataFrame, scores: DataFrame, sizes: tuple[int, ...
     return each.select("community", "size", F.transform(F.slice("l", 1, F.col("size")), lambda x: x["file_id"]).alias("file_ids"))
 
 
+def closest_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """smallest_pairs() of pairs(u, v, distance) as a table.
+
+    Pairs below the k-th smallest distance stay. Of those at it the first k to come were let in, pairs
+    below it counted, and the earliest of them had to go again.
+    """
+    worst = pairs.select("distance").orderBy("distance").limit(k).agg(F.max("distance").alias("worst"))
+    near = pairs.join(F.broadcast(worst), F.col("distance") <= F.col("worst"))  # one row
+    near = staged(numbered(near.select("u", "v", "distance", "worst"), ["u", "v"], "n"), "near")
+    below = near.where("distance < worst")
+    left = max(0, k - below.count())
+    ties = near.where((F.col("distance") == F.col("worst")) & (F.col("n") <= k)).orderBy(F.desc("n")).limit(left)
+    return below.select("u", "v", "distance").union(ties.select("u", "v", "distance"))
+
+
+def sparse_graph(chunks: DataFrame, benefit: DataFrame, pair_degree: int = 16, hub_count: int = 4, hub_edges: int = 2) -> DataFrame:
+    """(u, v, weight): bytes of chunks over which two files are joined.
+
+    A chunk of up to pair_degree files joins all of them, one of more each of its files to the best
+    hub_edges of its hub_count files with the largest benefit. So a chunk of n files makes less than
+    n * pair_degree / 2 or 2 * n * hub_edges rows.
+    """
+    use = _use(chunks)
+    degree = use.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    few, many = (use.join(degree.where(x), "fp").select("fp", "file_id", "size") for x in (F.col("n") <= pair_degree, F.col("n") > pair_degree))
+    both = few.select("fp", F.col("file_id").alias("u"), "size").join(few.select("fp", F.col("file_id").alias("v")), "fp").where("u < v").select("u", "v", "size")
+    best = hubs(chunks, benefit, hub_count).withColumnRenamed("file_id", "hub")
+    star = many.join(best, "fp").where("file_id <> hub")
+    nth = F.row_number().over(Window.partitionBy("fp", "file_id").orderBy("rank"))
+    star = star.withColumn("nth", nth).where(F.col("nth") <= hub_edges)
+    star = star.select(F.least("file_id", "hub").alias("u"), F.greatest("file_id", "hub").alias("v"), "size")
+    return both.union(star).groupBy("u", "v").agg(F.sum("size").alias("weight"))
+
+
+def thresholded(edges: DataFrame, own_bytes: DataFrame, least_bytes: float, least_share: float) -> DataFrame:
+    """Edges of at least that weight and that share of the smaller file's bytes; own_bytes(file_id, bytes)."""
+    a, b = (own_bytes.select(F.col("file_id").alias(k), F.col("bytes").alias(f"_{k}")) for k in ("u", "v"))
+    small = F.least("_u", "_v")
+    share = F.when(small > 0, F.col("weight") / small).otherwise(0.0)
+    return edges.join(a, "u").join(b, "v").where((F.col("weight") >= least_bytes) & (share >= least_share)).select("u", "v", "weight")
+
+
 def capped_communities(n_files: int, weighted: list[tuple[int, int, float]], least: float, most: int) -> list[list[int]]:
     """Breadth-first groups along edges of at least that weight, strongest first, at most so many files each."""
     near: dict[int, list[tuple[float, int]]] = {}

@@ -7,6 +7,9 @@ whole catalog, which is what a sequential selection needs.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.operators import select as S
 from chunkweave.operators.graph import Closest, merged_groups
+from chunkweave.staging import staged
 
 #: name -> (value of a file, clusters, selection, placement, protected share)
 METHODS = {
@@ -170,6 +174,41 @@ def run_cells(cells: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
     return chunks.groupBy("of").cogroup(rows.groupBy("cell")).applyInPandas(fold, "cell string, kind string, id long, node int")
 
 
+def cell_key(settings: dict, inputs: dict[str, str]) -> str:
+    """Address of a cell's result: the digest of its settings and of the digests of what it reads."""
+    return hashlib.sha256(json.dumps({"settings": settings, "inputs": inputs}, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+def table_digest(rows: DataFrame) -> str:
+    """Digest of a table's rows in any order: their count and the sums of two hashes."""
+    h = F.xxhash64(*rows.columns)
+    r = rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("a"), F.sum(F.hash(*rows.columns).cast("decimal(38,0)")).alias("b")).first()
+    return hashlib.sha256(f"{rows.dtypes}|{r['n']}|{r['a']}|{r['b']}".encode()).hexdigest()
+
+
+def cached_cells(cells: DataFrame, edges: DataFrame, info: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """run_cells(), each cell's rows kept under its key in `path`; and how many cells were run now.
+
+    Cells are a few settings and come to the driver. A cell whose key is there already isn't run again;
+    a key changes with any setting and any row of the catalog.
+    """
+    spark = cells.sparkSession
+    inputs = {"edges": table_digest(edges), "info": table_digest(info)}
+    of = {r["cell"]: cell_key({**r.asDict(), "cell": None}, inputs) for r in cells.collect()}
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda key: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/_SUCCESS"))
+    todo = {cell: key for cell, key in of.items() if not there(key)}
+    if todo:
+        new = staged(run_cells(cells.where(F.col("cell").isin(*todo)), edges, info), "cells")
+        for cell, key in todo.items():
+            new.where(F.col("cell") == cell).drop("cell").write.mode("overwrite").parquet(f"{path}/{key}")
+    out = [spark.read.schema("kind string, id long, node int").parquet(f"{path}/{key}").withColumn("cell", F.lit(cell)) for cell, key in of.items()]
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows.select("cell", "kind", "id", "node"), len(todo)
+
+
 def by_file(rows: pd.DataFrame, size: str) -> S.Chunks:
     """Each file's chunks in order, from rows with file_id, seq, chunk_id and a column of sizes."""
     rows = rows.sort_values(["file_id", "seq"])

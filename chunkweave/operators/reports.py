@@ -115,3 +115,28 @@ def failure_summary(lines: DataFrame, last: int = 40, words: str = "error|except
 
 def gain_summary(gains: DataFrame) -> DataFrame:
     return gains.agg(F.avg("gain").alias("mean_gain"), F.max("gain").alias("max_gain"), F.min("gain").alias("min_gain"))
+
+
+#: Metrics of a suite's run by the document and the section that hold them; fixed names of the report.
+SUITE_METRICS = {
+    "placement": {
+        "summary": ["clustered_file_count", "unique_chunk_count", "total_theoretical_gain"],
+        "protection": ["protected_target_count", "protected_selected_count", "stage1_selected_rows", "stage1_total_protected_heat"],
+        "theory.gain_summary": ["mean_seconds", "max_seconds"],
+    },
+    "dedup": {"overall_average": ["total_original_bytes", "total_unique_bytes", "total_network_sent_bytes", "total_duration_seconds", "throughput_mb_s", "dedup_ratio"]},
+    "restore": {"overall_average": ["file_count", "cloud_full_download_files", "total_bytes", "total_duration_seconds", "throughput_mb_s", "average_duration_seconds_per_file"]},
+}
+
+
+def suite_metrics(runs: DataFrame) -> DataFrame:
+    """runs(run, placement, dedup, restore) of JSON texts as (run, 22 metrics as doubles); a metric that isn't there is null."""
+    out = []
+    for doc, sections in SUITE_METRICS.items():
+        for section, names in sections.items():
+            for name in names:
+                label = f"gain_{name}" if section == "theory.gain_summary" else name
+                label = label if label.startswith(f"{doc}_") else f"{doc}_{label}"
+                out.append(F.get_json_object(doc, f"$.{section}.{name}").try_cast("double").alias(label))
+    mapped = F.json_object_keys(F.get_json_object("placement", "$.hash2edge_node_id"))
+    return runs.select("run", *out, F.coalesce(F.size(mapped), F.lit(0)).cast("double").alias("placement_mapped_hash_count"))

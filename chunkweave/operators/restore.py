@@ -112,9 +112,11 @@ def elapsed_split(elapsed: Column, edge_bytes: Column, cloud_bytes: Column, edge
 
 
 def requested(catalog: DataFrame, requests: DataFrame, prefix: str = "") -> DataFrame:
-    """requests(req_id, input) with the file that has the path itself or behind the prefix; an unknown one keeps a null path."""
+    """requests(req_id, input) with the file that has the path itself or behind the prefix; an unknown one raises."""
     keys = catalog.select("path", F.explode(F.array_distinct(F.array("path", F.concat(F.lit(prefix), "path")))).alias("input"))
-    return requests.join(keys.groupBy("input").agg(F.min("path").alias("path")), "input", "left")
+    rows = requests.join(keys.groupBy("input").agg(F.min("path").alias("path")), "input", "left")
+    known = F.assert_true(F.col("path").isNotNull(), F.concat(F.lit("no such file: "), F.coalesce("input", F.lit("null"))))
+    return rows.where(known.isNull())
 
 
 def missing(requests: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -144,10 +146,60 @@ def scenarios(spark, low: float = 0.5, high: float = 0.95, step: float = 0.05) -
     return fixed.unionByName(hybrid)
 
 
+def runs_of(requests: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Every request(at, input) in every scenario(at, kind, ratio): (id, scenario, kind, ratio, input, output), scenario after scenario.
+
+    Scenarios are a handful of settings, so this product grows with the requests alone.
+    """
+    n = requests.count()
+    each = F.broadcast(scenarios.select(F.col("at").alias("scenario"), "kind", "ratio"))
+    name = F.element_at(F.split("input", "/"), -1)
+    output = F.concat(F.lit("r"), F.lpad(F.round(F.col("ratio") * 100).cast("int").cast("string"), 3, "0"), F.lit("/"), F.lpad(F.col("at").cast("string"), 6, "0"), F.lit("-"), name)
+    rows = requests.join(each, F.lit(True))
+    return rows.select(((F.col("scenario") - 1) * n + F.col("at")).alias("id"), "scenario", "kind", "ratio", "input", output.alias("output"))
+
+
+#: Phases of a restore as they are measured, and their names in the report.
+PHASES = {"setup": "setup", "recipe_scan": "recipe_scan", "window_prepare": "window_prepare", "edge_fetch": "edge_fetch", "cloud_fallback_fetch": "cloud_fetch", "output_write": "output_write"}
+_SIDE = ["bytes", "chunks_requested", "chunks_found", "batches", "rpc_seconds", "transfer_seconds"]
+
+
 def export_rows(stats: DataFrame) -> DataFrame:
-    """Rows of a restore report: latency is the sum of phases or else the duration, with data path and shares, six decimals."""
-    phases = ["edge_s", "cloud_s", "write_s", "plan_s"]
-    total = sum((F.coalesce(c, F.lit(0.0)) for c in phases[1:]), F.coalesce(phases[0], F.lit(0.0)))
-    latency = F.when(total > 0, total).otherwise(F.col("duration_s"))
-    path = F.coalesce("edge_s", F.lit(0.0)) + F.coalesce("cloud_s", F.lit(0.0)) + F.coalesce("write_s", F.lit(0.0))
-    return stats.select("*", F.round(latency, 6).alias("latency_s"), F.round(path, 6).alias("data_path_s"), F.round(mib_per_s(F.col("bytes"), latency), 6).alias("mib_s"), *(F.round(safe_ratio(F.col(c), latency) * 100, 6).alias(f"{c[:-2]}_pct") for c in phases))
+    """The restore report: 42 columns for each restored file, times and ratios to six decimals.
+
+    stats: id, input_path, output_path, ratio, exit_code, runtime_seconds, bytes, chunks, duration_seconds,
+    cloud_full_download, phases map<string,double>, nodes array<struct<is_cloud, bytes, chunks_requested,
+    chunks_found, batches, rpc_seconds, transfer_seconds>>, stats_snapshot, stdout_tail, stderr_tail.
+    A failed run has zeros for its figures.
+    """
+    ok = F.col("exit_code") == 0
+    mib = lambda x: x.cast("double") / 1048576.0
+    seconds = {p: F.when(ok, F.coalesce(F.try_element_at("phases", F.lit(p)), F.lit(0.0))).otherwise(0.0) for p in PHASES}
+    total = F.aggregate(F.map_values("phases"), F.lit(0.0), lambda a, x: a + x)
+    total = F.when(ok, F.coalesce(total, F.lit(0.0))).otherwise(0.0)
+    duration = F.when(ok, F.coalesce("duration_seconds", F.lit(0.0))).otherwise(0.0)
+    latency = F.when(total > 0, total).otherwise(duration)
+    path = seconds["edge_fetch"] + seconds["cloud_fallback_fetch"] + seconds["output_write"]
+    size, chunks = (F.when(ok, F.coalesce(c, F.lit(0))).otherwise(0).cast("long") for c in ("bytes", "chunks"))
+
+    def side(cloud: bool, c: str) -> Column:
+        zero = F.lit(0.0) if c.endswith("seconds") else F.lit(0).cast("long")
+        mine = F.aggregate(F.filter("nodes", lambda x: x["is_cloud"] == F.lit(cloud)), zero, lambda a, x: a + x[c])
+        return F.when(ok, F.coalesce(mine, zero)).otherwise(zero)
+
+    sides = {("cloud" if k else "edge", c): side(k, c) for k in (False, True) for c in _SIDE}
+    both = sides["edge", "bytes"] + sides["cloud", "bytes"]
+    r6 = lambda x, name: F.round(x, 6).alias(name)
+    out = [
+        "id", F.element_at(F.split("input_path", "/"), -1).alias("file_name"), F.col("output_path").alias("experiment_output_path"),
+        F.round(F.col("ratio") * 100).cast("int").alias("edge_ratio"), "exit_code", "runtime_seconds",
+        r6(latency, "end_to_end_latency_seconds"), r6(F.when(path > 0, path).otherwise(duration), "data_path_latency_seconds"),
+        r6(F.when(latency > 0, mib(size) / latency).otherwise(0.0), "throughput_mb_s"),
+        size.alias("file_size_bytes"), r6(mib(size), "file_size_mb"), chunks.alias("chunk_count"),
+        F.when(ok, F.coalesce("cloud_full_download", F.lit(False))).otherwise(False).alias("cloud_full_download"),
+    ]
+    out += [r6(x, f"{k}_{c}") if c.endswith("seconds") else x.alias(f"{k}_{c}") for (k, c), x in sides.items()]
+    out += [r6(F.when(both > 0, sides[k, "bytes"] / both).otherwise(0.0), f"{k}_byte_ratio") for k in ("edge", "cloud")]
+    for p, name in PHASES.items():
+        out += [r6(seconds[p], f"phase_{name}_seconds"), r6(F.when(total > 0, seconds[p] * 100.0 / total).otherwise(0.0), f"phase_{name}_pct")]
+    return stats.select(*out, "stats_snapshot", "stdout_tail", "stderr_tail")

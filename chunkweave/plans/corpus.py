@@ -7,6 +7,7 @@ fingerprint's first digits, none where its last digit is f; request: an event's
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ class Corpus:
     def sizes(self) -> DataFrame:
         return self.contents.select("path", "doc_id", F.octet_length("content").cast("long").alias("raw_size"))
 
-    @property
+    @cached_property
     def files(self) -> DataFrame:
+        """Numbered once for each corpus; the table is written then."""
         return catalog.with_file_ids(self.sizes)
 
     @property
@@ -52,7 +54,7 @@ class Corpus:
         n = self.chunks.groupBy("path").agg(F.count("*").alias("n_chunks"))
         return self.heat.join(n, "path", "left").na.fill(0, ["n_chunks"])
 
-    @property
+    @cached_property
     def ids(self) -> DataFrame:
         return catalog.chunk_ids(self.chunks)
 
@@ -123,6 +125,16 @@ def sql(needs: str, body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in needs.split()) + "\n" + body
 
 
+#: FNV-1a of a fingerprint's characters, 64 bits.
+FNV = """list_reduce(list_prepend(CAST(14695981039346656037 AS UBIGINT), list_transform(string_split(fp, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda h, b: CAST((CAST(xor(h, b) AS UHUGEINT) * 1099511628211) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT))"""
+#: Jump hash of every distinct fingerprint, a row for each jump.
+JUMPED = sql("d chunks", f""", k AS (SELECT fp, {FNV} AS h FROM (SELECT DISTINCT fp FROM chunks)),
+j(fp, h, bucket, nxt) AS (SELECT fp, h, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM k
+UNION ALL SELECT fp, n, nxt, CAST(floor((nxt + 1) * (2147483648.0 / CAST((n >> 33) + 1 AS DOUBLE))) AS BIGINT)
+FROM (SELECT *, CAST((CAST(h AS UHUGEINT) * 2862933555777941757 + 1) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS n FROM j WHERE nxt < {NODES}))
+""").replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+
+
 def registry() -> tuple[dict[str, Callable], dict[str, str], Callable]:
     """Queries, their oracles, and the decorator that adds one."""
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

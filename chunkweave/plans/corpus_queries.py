@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from chunkweave.config import LinkModel
 from chunkweave.functions import chunking, cost, hashing, naming
 from chunkweave.operators import catalog, containers, dedup
-from chunkweave.plans.corpus import CHUNK, NODES, Corpus, r6, registry, sql
+from chunkweave.plans.corpus import CHUNK, FNV, JUMPED, NODES, Corpus, r6, registry, sql
+from chunkweave.plans.io_queries import recursive
 from chunkweave.sources import readers, writers
 from chunkweave.staging import staging
 
@@ -116,7 +117,7 @@ def _(c: Corpus) -> DataFrame:
     return c.contents.select("path", F.sha1("content").alias("sha1"), hashing.content_digest(F.col("content")).alias("sha256"), hashing.project_name("run", F.col("path")).alias("project"))
 
 
-@query("s043_fnv_and_jump_hash")
+@query("s043_fnv_and_jump_hash", JUMPED + f"SELECT fp, CAST(any_value(k.h) AS VARCHAR) AS fnv, CAST(max(bucket) + 1 AS INTEGER) AS node FROM j JOIN k USING (fp) WHERE nxt >= {NODES} GROUP BY fp")
 def _(c: Corpus) -> DataFrame:
     return c.chunks.select("fp").distinct().select("fp", hashing.fnv1a_64("fp").cast("string").alias("fnv"), hashing.jump_node(F.col("fp"), NODES).alias("node"))
 
@@ -201,7 +202,7 @@ def _(c: Corpus) -> DataFrame:
     return catalog.protected(c.heat, 0.15).select("file_id", "path")
 
 
-@query("s103_capped_files", sql("d", "SELECT path, n AS raw_size FROM d ORDER BY path LIMIT 25"))
+@query("s004_capped_files", sql("d", "SELECT path, n AS raw_size FROM d ORDER BY path LIMIT 25"))
 def _(c: Corpus) -> DataFrame:
     return catalog.capped(c.sizes, 25).select("path", "raw_size")
 
@@ -232,13 +233,7 @@ def _(c: Corpus) -> DataFrame:
     return c.counts.select("path", F.round(cost.hybrid_time(F.col("raw_size"), F.col("n_chunks"), 0.7, M), 9).alias("hybrid_s"))
 
 
-@query("s065_sequential_fill_times")
-def _(c: Corpus) -> DataFrame:
-    total = c.counts.agg(F.sum("raw_size")).first()[0] or 0
-    return c.counts.select("path", F.round(cost.filled_time(F.col("raw_size"), F.col("n_chunks"), M, total * 0.2 / NODES), 9).alias("fill_s"))
-
-
-@query("s066_edge_by_hash_share")
+@query("s066_edge_by_hash_share", sql("d chunks", f"SELECT fp, {FNV} <= CAST({int(0.8 * float(2**64 - 1))} AS UBIGINT) AS edge FROM (SELECT DISTINCT fp FROM chunks)"))
 def _(c: Corpus) -> DataFrame:
     return c.chunks.select("fp").distinct().select("fp", hashing.edge_by_ratio(F.col("fp"), 0.8).alias("edge"))
 
@@ -309,18 +304,22 @@ def _(c: Corpus) -> DataFrame:
     return catalog.first_seen(more, c.chunks).select("path", "seq", "fp", "length")
 
 
-@query("s082_container_packing")
-def _(c: Corpus) -> DataFrame:
-    return containers.pack(c.placed.where("node > 0"), 8192, 1024)
-
-
 @query("s083_container_resume", sql("d", "SELECT path, n // 1000 + 1 AS single_file, CASE WHEN doc_id % 2 = 0 THEN 1000 ELSE 0 END AS multi_file FROM d"))
 def _(c: Corpus) -> DataFrame:
     has = F.col("doc_id") % 2 == 0
     return c.sizes.select("path", containers.resume_id(F.col("raw_size"), 1000, has, True).alias("single_file"), containers.resume_id(F.col("raw_size"), 1000, has, False).cast("int").alias("multi_file"))
 
 
-@query("s084_container_reads")
+# A least-recently-used list of four containers for each node, one step for each read.
+_READS = """, size AS (SELECT node, container_id, CAST(sum(length) AS BIGINT) AS bytes FROM fit GROUP BY ALL),
+r AS (SELECT f.node, f.container_id AS k, f.length, bytes, row_number() OVER (PARTITION BY f.node ORDER BY c.path || lpad(CAST(c.seq AS VARCHAR), 12, '0')) AS i FROM chunks c JOIN fit f USING (fp) JOIN size s ON s.node = f.node AND s.container_id = f.container_id),
+lru(node, i, held, hits, misses, useful, loaded) AS (SELECT node, i, [k], CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(length AS BIGINT), bytes FROM r WHERE i = 1
+UNION ALL SELECT l.node, r.i, CASE WHEN list_contains(held, k) THEN list_append(list_filter(held, lambda x: x <> k), k) WHEN len(held) >= 4 THEN list_append(held[2:], k) ELSE list_append(held, k) END,
+hits + CAST(list_contains(held, k) AS BIGINT), misses + CAST(NOT list_contains(held, k) AS BIGINT), useful + r.length, loaded + CASE WHEN list_contains(held, k) THEN 0 ELSE bytes END FROM lru l JOIN r ON r.node = l.node AND r.i = l.i + 1)
+SELECT node, hits AS cache_hits, misses AS cache_misses, useful AS useful_bytes, loaded AS container_loaded_bytes, 1024 * misses AS meta_read_bytes FROM lru QUALIFY row_number() OVER (PARTITION BY node ORDER BY i DESC) = 1"""
+
+
+@query("s084_container_reads", recursive(_READS))
 def _(c: Corpus) -> DataFrame:
     placed = c.placed.where("node > 0")
     packed = containers.pack(placed, 8192, 1024)
@@ -397,9 +396,9 @@ def _(c: Corpus) -> DataFrame:
 
 
 def _register() -> None:
-    from chunkweave.plans import placement_queries, restore_queries
+    from chunkweave.plans import io_queries, placement_queries, restore_queries
 
-    for m in (restore_queries, placement_queries):
+    for m in (restore_queries, placement_queries, io_queries):
         QUERIES.update(m.QUERIES)
         ORACLE_SQL.update(m.ORACLE_SQL)
 

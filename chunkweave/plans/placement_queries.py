@@ -9,7 +9,7 @@ from chunkweave.config import LinkModel
 from chunkweave.functions import cost, hashing
 from chunkweave.operators import catalog, graph, placement
 from chunkweave.operators import select as S
-from chunkweave.plans.corpus import NODES, Corpus, registry, sql
+from chunkweave.plans.corpus import JUMPED, NODES, Corpus, registry, sql
 
 QUERIES, ORACLE_SQL, query = registry()
 M = LinkModel()
@@ -31,7 +31,15 @@ def _(c: Corpus) -> DataFrame:
     return graph.pair_distances(c.numbered_chunks, c.heat).withColumn("distance", F.round("distance", 6))
 
 
-@query("s138_gain_weighted_distances")
+_PARALLEL = f"CASE WHEN raw_size <= 0 OR n_chunks <= 0 THEN 0.0 ELSE ceil(n_chunks / ({M.batch}.0 * greatest(1, least({M.nodes}, n_chunks)))) * {M.edge_rtt} + raw_size / greatest(1, least({M.nodes}, n_chunks)) * 8.0 / {M.edge_bps} END"
+_FROM_CLOUD = f"CASE WHEN raw_size <= 0 OR n_chunks <= 0 THEN 0.0 ELSE ceil(n_chunks / {M.batch}.0) * {M.cloud_rtt} + raw_size * 8.0 / {M.cloud_bps} END"
+_GAINED = f""", g AS (SELECT file_id, heat * greatest(0.0, {_FROM_CLOUD} - ({_PARALLEL})) AS g FROM counts),
+s AS (SELECT file_id, CAST(sum(length) AS BIGINT) AS b FROM chunks JOIN files USING (path) GROUP BY file_id),
+x AS (SELECT p.u, p.v, p.shared_bytes AS i, a.b AS a, b.b AS b, ga.g AS gu, gb.g AS gv FROM pairs p JOIN s a ON a.file_id = p.u JOIN s b ON b.file_id = p.v JOIN g ga ON ga.file_id = p.u JOIN g gb ON gb.file_id = p.v)
+SELECT u, v, round(CASE WHEN a + b - i <= 0 OR (gu + gv) / (a + b - i) < greatest(gu / a, gv / b) THEN 1.0 ELSE 1.0 - i / (a + b - i) END, 6) AS distance FROM x"""
+
+
+@query("s138_gain_weighted_distances", sql("d files heat chunks counts use pairs", _GAINED))
 def _(c: Corpus) -> DataFrame:
     gains = c.counts.select("file_id", (F.col("heat") * cost.gain(F.col("raw_size"), F.col("n_chunks"), M, parallel=True)).alias("score"))
     return graph.pair_distances(c.numbered_chunks, gains, "score").withColumn("distance", F.round("distance", 6))
@@ -69,7 +77,8 @@ def _(c: Corpus) -> DataFrame:
     return graph.boosted(benefits(c), labels(c), 0.5).withColumn("benefit", F.round("benefit", 6))
 
 
-@query("s123_hottest_prefixes")
+@query("s123_hottest_prefixes", _COMM + """, r AS (SELECT community, file_id, row_number() OVER (PARTITION BY community ORDER BY 1.0 / pow(file_id, 0.7) DESC, file_id) AS r, count(*) OVER (PARTITION BY community) AS n FROM lab)
+SELECT community, size, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY r) AS file_ids FROM r, (VALUES (2), (4), (8), (16), (32), (64)) t(size) WHERE r <= size AND size <= n GROUP BY ALL""")
 def _(c: Corpus) -> DataFrame:
     p = graph.hottest_prefixes(labels(c), c.heat.select("file_id", F.col("heat").alias("score")))
     return p.select("community", "size", F.array_join(F.transform("file_ids", lambda x: x.cast("string")), ",").alias("file_ids"))
@@ -95,11 +104,99 @@ def _(c: Corpus) -> DataFrame:
     return graph.split_graph(*delta(c))[1]
 
 
-@query("s162_jump_hash_placement")
+@query("s162_jump_hash_placement", JUMPED + "SELECT fp, CAST(max(bucket) + 1 AS INTEGER) AS node FROM j WHERE nxt >= " + str(NODES) + " GROUP BY fp")
 def _(c: Corpus) -> DataFrame:
     return catalog.first_seen(c.chunks).select("fp", hashing.jump_node(F.col("fp"), NODES).alias("node"))
 
 
+@query("s119_closest_pairs", sql(_USE + " pairs", _DIST.replace("SELECT u, v, round(", ", p AS (SELECT u, v, round(").replace(" FROM x", """ FROM x),
+k AS (SELECT max(distance) AS worst FROM (SELECT distance FROM p ORDER BY distance LIMIT 50)), q AS (SELECT p.*, worst, row_number() OVER (ORDER BY u, v) AS n, count(*) FILTER (distance < worst) OVER () AS less FROM p, k WHERE distance <= worst)
+SELECT u, v, distance FROM q WHERE distance < worst OR n <= 50 QUALIFY distance < worst OR row_number() OVER (PARTITION BY distance = worst ORDER BY n DESC) <= 50 - less""")))
+def _(c: Corpus) -> DataFrame:
+    """The 50 closest pairs, as a scan that evicts the first of the worst keeps them."""
+    pairs = graph.pair_distances(c.numbered_chunks, c.heat).withColumn("distance", F.round("distance", 6))
+    return graph.closest_pairs(pairs, 50)
+
+
+_SPARSE = """, deg AS (SELECT fp, count(*) AS n FROM use GROUP BY fp HAVING count(*) > 1),
+hub AS (SELECT fp, file_id AS hub, row_number() OVER (PARTITION BY fp ORDER BY 1.0 / pow(file_id, 0.7) DESC, file_id) AS rank FROM use QUALIFY rank <= 4),
+few AS (SELECT u.* FROM use u JOIN deg USING (fp) WHERE n <= 2), many AS (SELECT u.* FROM use u JOIN deg USING (fp) WHERE n > 2),
+e AS (SELECT a.file_id AS u, b.file_id AS v, a.size FROM few a JOIN few b ON a.fp = b.fp AND a.file_id < b.file_id UNION ALL
+SELECT least(file_id, hub), greatest(file_id, hub), size FROM (SELECT m.file_id, hub, size, row_number() OVER (PARTITION BY m.fp, m.file_id ORDER BY rank) AS nth FROM many m JOIN hub h ON h.fp = m.fp AND h.hub <> m.file_id) WHERE nth <= 2),
+w AS (SELECT u, v, CAST(sum(size) AS BIGINT) AS weight FROM e GROUP BY ALL), own AS (SELECT file_id, sum(size) AS b FROM use GROUP BY 1)
+SELECT u, v, weight FROM w JOIN own x ON x.file_id = u JOIN own y ON y.file_id = v WHERE weight >= 100 AND weight / least(x.b, y.b) >= 0.05"""
+
+
+def sparse_edges(c: Corpus) -> DataFrame:
+    own = c.numbered_chunks.select("file_id", "fp", "length").distinct().groupBy("file_id").agg(F.sum("length").alias("bytes"))
+    return graph.thresholded(graph.sparse_graph(c.numbered_chunks, benefits(c), 2, 4, 2), own, 100, 0.05)
+
+
+@query("s155_sparse_graph", sql(_USE, _SPARSE))
+def _(c: Corpus) -> DataFrame:
+    return sparse_edges(c)
+
+
+@query("s157_community_greedy")
+def _(c: Corpus) -> DataFrame:
+    """(kind, id): communities picked, and files that are complete then; one task, as each pick depends on those before."""
+    use = catalog.edges(c.numbered_chunks, c.ids).select("file_id", "seq", "chunk_id", F.col("length").alias("size"))
+    rows = use.join(labels(c), "file_id").join(benefits(c), "file_id").withColumn("g", F.lit(0))
+
+    def fold(x):
+        files = placement.by_file(x, "size")
+        of = dict(zip(x["file_id"].tolist(), x["community"].tolist(), strict=True))
+        names = sorted(set(of.values()))
+        groups = [[f for f in sorted(files) if of[f] == n] for n in names]
+        total = sum({k: s for ks in files.values() for k, s in ks}.values())
+        picked, whole = S.community_greedy(groups, files, dict(zip(x["file_id"].tolist(), x["benefit"].tolist(), strict=True)), total * 0.2, S.Servers(NODES, total * 0.2 / NODES))
+        out = [("community", names[i]) for i in picked] + [("file", f) for f in sorted(whole)]
+        return type(x)(out, columns=["kind", "id"])
+
+    return rows.groupBy("g").applyInPandas(fold, "kind string, id long")
+
+
+_DEMO = [(1, "ABC", 2), (2, "ABCF", 1), (3, "AF", 1), (4, "BCG", 4), (5, "HGI", 5)]
+
+
+@query("s171_demo_instance", "SELECT * FROM (VALUES (3, 'exact', 3, 5, '5'), (4, 'exact', 4, 6, '1,4'), (5, 'exact', 5, 9, '4,5'), (6, 'exact', 6, 11, '1,4,5'), (7, 'exact', 7, 13, '1,2,3,4,5')) t(budget, solver, cost, prize, picked)")
+def _(c: Corpus) -> DataFrame:
+    """The reference instance of five files, solved by enumeration for each budget."""
+
+    def solve(batches):
+        vertices = {f: (len(k), p) for f, k, p in _DEMO}
+        edges = [(a, b, -len(set(k) & set(m))) for a, k, _ in _DEMO for b, m, _ in _DEMO if a < b and set(k) & set(m)]
+        for x in batches:
+            out = [(n, "exact", cost_, prize, ",".join(map(str, picked))) for n in x["budget"].tolist() for cost_, prize, picked in [S.dstp(vertices, edges, n)]]
+            yield type(x)(out, columns=["budget", "solver", "cost", "prize", "picked"])
+
+    return c.spark.range(3, 8).select(F.col("id").cast("int").alias("budget")).mapInPandas(solve, "budget int, solver string, cost int, prize int, picked string")
+
+
+@query("s175_cached_matrix")
+def _(c: Corpus) -> DataFrame:
+    """A matrix of cells run twice over one folder: the second time nothing is run."""
+    import uuid
+
+    from chunkweave.staging import staged, staging
+
+    path = f"{staging(c.spark)}/matrix-{uuid.uuid4().hex}"
+    rows = [(f"{n}@{r}", n, r, NODES, None) for n in ("edge_only", "popularity_only") for r in (0.1, 0.2)]
+    table = c.spark.createDataFrame(rows, "cell string, method string, ratio double, nodes int, protect double")
+    edges, files = staged(chunk_edges(c), "edges"), staged(info(c), "info")
+    placement.cached_cells(table, edges, files, path)
+    out, ran = placement.cached_cells(table, edges, files, path)
+    if ran:
+        raise RuntimeError(f"{ran} cells were run again")
+    return out
+
+
+@query("s176_method_names", "SELECT * FROM (VALUES ('MEAN', 'mean'), ('LADedup-only', 'ladedup_only'), ('LADedup-two', 'ladedup_two'), ('directprotect_v2', 'ladedup_two'), ('version3', 'ladedup_only'), ('version4', 'theoretical_v4'), ('heat_only_spread', 'popularity_only'), ('Edge_only', 'edge_only'), ('Cloud_only', 'cloud_only'), ('Dedup_only', 'dedup_only'), ('topfirst_v1', 'topfirst_v1')) t(alias, method)")
+def _(c: Corpus) -> DataFrame:
+    names = [*placement.ALIASES, "topfirst_v1"]
+    return c.spark.createDataFrame([(n, placement.method(n)) for n in names], "alias string, method string")
+
+
 def info(c: Corpus) -> DataFrame:
     b, n, h = F.col("raw_size"), F.col("n_chunks"), F.col("heat")
     total = c.sizes.agg(F.sum("raw_size")).first()[0] or 0
@@ -137,7 +234,7 @@ def _(c: Corpus) -> DataFrame:
     return cells(c, ["dedup_only", "greedy_benefit_size", "graph_community", "popularity_only"])
 
 
-@query("s152_trivial_methods")
+@query("s152_trivial_methods", sql("d files chunks firsts ids", f"SELECT 'edge_only@0.2' AS cell, 'file' AS kind, file_id AS id, CAST(0 AS INTEGER) AS node FROM files WHERE raw_size > 0 UNION ALL SELECT 'edge_only@0.2', 'chunk', chunk_id, CAST((chunk_id - 1) % {NODES} + 1 AS INTEGER) FROM ids"))
 def _(c: Corpus) -> DataFrame:
     """cloud_only selects and places nothing, so it has no rows."""
     return placement.edge_only("edge_only@0.2", chunk_edges(c), NODES)

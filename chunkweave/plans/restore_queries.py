@@ -241,13 +241,6 @@ def _(c: Corpus) -> DataFrame:
     return out.select("path", F.sha1("content").alias("sha1"), F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query("s135_export_rows", _RUNS + "SELECT req_id, round(duration_s, 6) AS latency_s, round(duration_s * 0.9, 6) AS data_path_s, round(bytes / 1048576.0 / duration_s, 6) AS mib_s, round(CAST(60 AS DOUBLE), 6) AS edge_pct, round(CAST(10 AS DOUBLE), 6) AS plan_pct FROM runs")
-def _(c: Corpus) -> DataFrame:
-    d = F.col("duration_s")
-    r = runs(c).select("req_id", "bytes", "duration_s", (d * 0.6).alias("edge_s"), (d * 0.2).alias("cloud_s"), (d * 0.1).alias("write_s"), (d * 0.1).alias("plan_s"))
-    return restore.export_rows(r).select("req_id", *r6("latency_s", "data_path_s", "mib_s", "edge_pct", "plan_pct"))
-
-
 @query("s136_scenarios", "SELECT CAST(pos AS BIGINT) AS \"at\", kind, round(CAST(ratio AS DOUBLE), 2) AS ratio FROM (SELECT 1 AS pos, 'edge-all' AS kind, 1.0 AS ratio UNION ALL SELECT 2, 'cloud-full', 0.0 UNION ALL SELECT i + 3, 'hybrid', 0.95 - i * 0.05 FROM range(0, 10) t(i))")
 def _(c: Corpus) -> DataFrame:
     return restore.scenarios(c.spark)
@@ -276,7 +269,7 @@ def _(c: Corpus) -> DataFrame:
     return workload.sample_without_replacement(c.heat, 30, 7)
 
 
-@query("s174_prize_by_requests", sql("d chunks requests", "SELECT r.path, round(r.n / (SELECT count(*) FROM requests), 6) AS lambda, c.chunks FROM (SELECT input AS path, count(*) AS n FROM requests GROUP BY 1) r JOIN (SELECT path, count(*) AS chunks FROM chunks GROUP BY 1) c USING (path)"))
+@query("s111_request_shares", sql("d chunks requests", "SELECT r.path, round(r.n / (SELECT count(*) FROM requests), 6) AS lambda, c.chunks FROM (SELECT input AS path, count(*) AS n FROM requests GROUP BY 1) r JOIN (SELECT path, count(*) AS chunks FROM chunks GROUP BY 1) c USING (path)"))
 def _(c: Corpus) -> DataFrame:
     from chunkweave.operators.placement import hot_input
 
@@ -291,6 +284,6 @@ def _(c: Corpus) -> DataFrame:
     return rows.select("path", F.size(F.array_union("l", F.array_distinct("l"))).cast("long").alias("unique_chunks"), F.size("l").cast("long").alias("chunks"))
 
 
-@query("s117_catalog_files", sql("d files heat chunks counts", "SELECT file_id, path, raw_size, n_chunks FROM counts"))
+@query("s005_catalog_files", sql("d files heat chunks counts", "SELECT file_id, path, raw_size, n_chunks FROM counts"))
 def _(c: Corpus) -> DataFrame:
     return catalog.with_density(c.counts).select("file_id", "path", "raw_size", "n_chunks")

@@ -18,7 +18,10 @@ FILEINFO_SCHEMA = (
 # Fixed values of the formats.
 FILEINFO_FORMATS = ("mean_go_v1", "dstp_fixed_go_v1", "fixed_go_v1")
 FSL_MAGIC, FSL_VERSION = 0xDEADDEAD, 7
-FSL_FIXED, FSL_RABIN, FSL_SIMPLE = 1, 2, 3
+FSL_FIXED, FSL_VARIABLE = 1, 2
+FSL_RANDOM, FSL_SIMPLE, FSL_RABIN = 1, 2, 3
+#: Places in a hash trace: chunking method and parameters, hash bits, first file.
+FSL_METHOD_AT, FSL_PARAMS_AT, FSL_BITS_AT, FSL_FILES_AT = 4120, 4124, 4172, 8296
 
 
 def files(spark: SparkSession, root: str, extensions: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, skip_under: str | None = None, most: int | None = None) -> DataFrame:
@@ -83,69 +86,66 @@ def catalog_tables(info: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return file, chunk, edge
 
 
-def fsl_chunk_bytes(method: int, bits: int, low: int, high: int) -> int:
-    """Nominal chunk size of a hash trace."""
-    if method == FSL_FIXED and bits > 0:
-        return bits
-    if method in (FSL_RABIN, FSL_SIMPLE) and 0 < bits < 31:
-        return 1 << bits
-    return (low + high) // 2 if low > 0 and high >= low else 8192
+def trace_chunk_bytes(method: int, params: bytes) -> int:
+    """Nominal chunk size from a trace's chunking method and its 44 bytes of parameters.
 
+    Fixed: the first number. Variable: by the algorithm (first number) two to the power of the bits
+    at 24, else half of what the least (at 36) and the largest size (at 40) make together; else 8192.
+    """
+    if method == FSL_FIXED:
+        return struct.unpack_from("<I", params)[0]
+    if method == FSL_VARIABLE and len(params) >= 44:
+        algorithm, bits, low, high = (struct.unpack_from("<I", params, at)[0] for at in (0, 24, 36, 40))
+        if algorithm in (FSL_RABIN, FSL_SIMPLE) and 0 < bits < 31:
+            return 1 << bits
+        if 0 < low <= high:
+            return (low + high) // 2
+    return 8192
 
-def parse_fsl(data: bytes) -> tuple[dict, list[tuple[str, list[tuple[str, int]]]]]:
-    """Header and files with (hash, size) of each chunk of a binary hash trace."""
+
+def trace_records(data: bytes) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """Path and (hash, size) of each chunk of every file of a binary hash trace."""
     magic, version, n_files = struct.unpack_from("<IIQ", data)
     if magic != FSL_MAGIC or version != FSL_VERSION:
         raise ValueError("not a hash trace of a known version")
-    at = 16
-    root = data[at : at + 4096].split(b"\0")[0].decode(errors="replace")
-    at += 4096
-    n_chunks, method = struct.unpack_from("<QI", data, at)
-    at += 12
-    params = data[at : at + 44]
-    at += 44
-    _, hash_bits = struct.unpack_from("<II", data, at)
-    at += 8 + 4096 + 16
-    (total,) = struct.unpack_from("<Q", data, at)
-    at += 8
-    first = struct.unpack_from("<I", params)[0]
-    low, high = struct.unpack_from("<II", params, 8)
-    variable, width = method != FSL_FIXED, hash_bits // 8
-    nominal = fsl_chunk_bytes(method, first, low, high)
-    out = []
+    root = data[16 : 16 + 4096].split(b"\0")[0].decode(errors="replace")
+    (method,), (hash_bits,) = (struct.unpack_from("<I", data, at) for at in (FSL_METHOD_AT, FSL_BITS_AT))
+    nominal, width = trace_chunk_bytes(method, data[FSL_PARAMS_AT : FSL_PARAMS_AT + 44]), hash_bits // 8
+    if width <= 0:
+        raise ValueError("a trace without hashes")
+    one = 4 * (method == FSL_VARIABLE) + width + 1  # size, hash, compression ratio
+    at = FSL_FILES_AT
     for _ in range(n_files):
-        size, _blocks, _uid, _gid = struct.unpack_from("<QQII", data, at)
-        at += 24 + 56
-        chunks, path_len, target_len = struct.unpack_from("<QII", data, at)
-        at += 16
+        chunks, path_len, target_len = struct.unpack_from("<QII", data, at + 80)
+        at += 96
         path = data[at : at + path_len].decode(errors="replace").rstrip("\0")
         at += path_len + target_len
-        rows, left = [], size
-        for _ in range(chunks):
-            if variable:
-                (n,) = struct.unpack_from("<I", data, at)
-                at += 4
-            else:
-                n = min(nominal, left)
-            rows.append((data[at : at + width].hex(), n))
-            left -= n
-            at += width + 1
-        if path.startswith(root):
-            path = path[len(root) :]
-        out.append((path.replace("\\", "/").lstrip("/"), rows))
-    return {"files": n_files, "chunks": n_chunks, "total_size": total, "chunk_bytes": nominal, "method": method}, out
+        if at + one * chunks > len(data):
+            raise ValueError("a trace ends within a file")
+        rows = []
+        for k in range(at, at + one * chunks, one):
+            size = struct.unpack_from("<I", data, k)[0] if method == FSL_VARIABLE else nominal
+            rows.append((data[k + one - width - 1 : k + one - 1].hex(), size))
+        at += one * chunks
+        yield path.removeprefix(root).replace("\\", "/").lstrip("/"), rows
 
 
-def fsl(spark: SparkSession, path: str) -> DataFrame:
-    """(source, path, seq, fp, length) of hash traces; one trace is one task, as its records have no index."""
+def traces(rows: DataFrame) -> DataFrame:
+    """(source, path, seq, fp, length) of rows(path, content) of hash traces; one trace is one task, as its records have no index."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for source, content in zip(b["path"], b["content"], strict=True):
-                for name, rows in parse_fsl(content)[1]:
-                    yield pd.DataFrame({"source": source, "path": name, "seq": range(len(rows)), "fp": [h for h, _ in rows], "length": [n for _, n in rows]})
+                for name, chunks in trace_records(content):
+                    if not chunks:
+                        continue
+                    yield pd.DataFrame({"source": source, "path": name, "seq": range(len(chunks)), "fp": [h for h, _ in chunks], "length": [n for _, n in chunks]})
+
+    return rows.select("path", "content").mapInPandas(run, "source string, path string, seq long, fp string, length long")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source string, path string, seq long, fp string, length long")
+
+def fsl(spark: SparkSession, path: str) -> DataFrame:
+    return traces(spark.read.format("binaryFile").load(path))
 
 
 def popularity(spark: SparkSession, path: str) -> DataFrame:

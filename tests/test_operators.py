@@ -42,8 +42,23 @@ def test_containers(spark):
     rows = [(1, "p", i, f"{i:040x}", 3, bytearray(bytes([i]) * 3)) for i in range(5)]
     placed = spark.createDataFrame(rows, "node int, path string, seq long, fp string, length long, data binary")
     packed = containers.pack(placed, 7, 1000)
-    back = {r["fp"]: bytes(r["data"]) for r in containers.read_image(containers.container_images(packed, placed, 7, 1000)).collect()}
-    assert back == {r[3]: bytes(r[5]) for r in rows}
+    for single in (False, True):
+        images = containers.container_images(packed, placed, 7, 1000, single)
+        back = {r["fp"]: bytes(r["data"]) for r in containers.read_image(images, 1000).collect()}
+        assert back == {r[3]: bytes(r[5]) for r in rows}
+
+
+def test_container_bytes(spark):
+    """Data, zeros up to the data size in the one file, then id, chunks, bytes, and each chunk's fingerprint, length and offset."""
+    fps = ["01" * 20, "ab" * 20]
+    placed = spark.createDataFrame([(3, "p", 0, fps[0], 2, bytearray(b"xy")), (3, "p", 1, fps[1], 3, bytearray(b"abc"))], "node int, path string, seq long, fp string, length long, data binary")
+    packed = containers.pack(placed, 8, 100, 1000)
+    meta = bytes.fromhex("00000000000003e8" + "00000002" + "00000005" + fps[0] + "00000002" + "00000000" + fps[1] + "00000003" + "00000002").ljust(100, b"\0")
+    for single, data in ((False, b"xyabc"), (True, b"xyabc\0\0\0")):
+        assert bytes(containers.container_images(packed, placed, 8, 100, single).first()["image"]) == data + meta
+    cut = containers.container_images(packed, placed, 8, 100).withColumn("container_id", F.lit(7).cast("long"))
+    with pytest.raises(PySparkException):
+        containers.read_image(cut, 100).collect()
 
 
 def test_restore(spark, chunks):
@@ -63,18 +78,32 @@ def test_sampling(spark):
     assert workload.sample_without_replacement(flat, 4, 1).count() == 4
 
 
-def fsl_bytes():
-    head = struct.pack("<IIQ", 0xDEADDEAD, 7, 1) + b"/root".ljust(4096, b"\0") + struct.pack("<QI", 2, 2) + struct.pack("<I", 13).ljust(44, b"\0") + struct.pack("<II", 1, 48) + b"\0" * 4096 + struct.pack("<QQQ", 0, 0, 30)
-    file = struct.pack("<QQII", 30, 1, 0, 0) + b"\0" * 56 + struct.pack("<QII", 2, 10, 0) + b"/root/x/y\0"
-    return head + file + struct.pack("<I", 10) + b"abcdef\0" + struct.pack("<I", 20) + b"ghijkl\0"
+def trace_bytes(method, params, files):
+    """A hash trace as the format lays it out."""
+    head = struct.pack("<IIQ", 0xDEADDEAD, 7, len(files)) + b"/root".ljust(4096, b"\0") + struct.pack("<QI", 2, method) + params.ljust(44, b"\0")
+    head += struct.pack("<II", 1, 48) + b"host".ljust(4096, b"\0") + struct.pack("<QQQ", 11, 12, 30)
+    for path, target, chunks in files:
+        head += struct.pack("<QQII", 30, 1, 5, 6) + struct.pack("<7Q", *range(7)) + struct.pack("<QII", len(chunks), len(path), len(target)) + path + target
+        for size, digest in chunks:
+            head += (struct.pack("<I", size) if method == 2 else b"") + digest + b"\x09"
+    return head
+
+
+def test_hash_traces(spark, tmp_path):
+    files = [(b"/root/x/y\0", b"", [(10, b"abcdef"), (20, b"ghijkl")]), (b"/root/z\0", b"/t", [(7, b"mnopqr")]), (b"/other", b"", [])]
+    got = list(readers.trace_records(trace_bytes(2, b"", files)))
+    assert got == [("x/y", [(b"abcdef".hex(), 10), (b"ghijkl".hex(), 20)]), ("z", [(b"mnopqr".hex(), 7)]), ("other", [])]
+    assert [n for _, c in readers.trace_records(trace_bytes(1, struct.pack("<I", 4096), files)) for _, n in c] == [4096] * 3
+    (tmp_path / "t.hash").write_bytes(trace_bytes(2, b"", files))
+    assert readers.fsl(spark, str(tmp_path / "t.hash")).count() == 3
+    at = lambda algorithm, bits, low, high: struct.pack("<I20xI8xII", algorithm, bits, low, high)
+    cases = [(1, at(512, 3, 0, 0), 512), (2, at(3, 13, 1, 2), 8192), (2, at(2, 12, 0, 0), 4096), (2, at(1, 12, 100, 300), 200), (2, at(3, 31, 100, 300), 200), (2, at(3, 0, 9, 5), 8192), (3, at(3, 13, 0, 0), 8192)]
+    assert [readers.trace_chunk_bytes(m, p) for m, p, _ in cases] == [n for _, _, n in cases]
+    with pytest.raises(ValueError):
+        list(readers.trace_records(trace_bytes(2, b"", files)[:-3]))
 
 
 def test_readers(spark, tmp_path):
-    info, files = readers.parse_fsl(fsl_bytes())
-    assert info["chunk_bytes"] == 8192 and files == [("x/y", [(b"abcdef".hex(), 10), (b"ghijkl".hex(), 20)])]
-    (tmp_path / "t.hash").write_bytes(fsl_bytes())
-    assert readers.fsl(spark, str(tmp_path / "t.hash")).count() == 2
-    assert [readers.fsl_chunk_bytes(1, 4096, 0, 0), readers.fsl_chunk_bytes(3, 12, 0, 0), readers.fsl_chunk_bytes(9, 0, 10, 30), readers.fsl_chunk_bytes(9, 0, 0, 0)] == [4096, 4096, 20, 8192]
     (tmp_path / "p.json").write_text('{"hash2edge_node_id": {"aa": " edge3 ", "bb": 3.0, "cc": true, " ": "x"}}')
     assert {r["fp"]: r["node_ref"] for r in readers.placement_json(spark, str(tmp_path / "p.json")).collect()} == {"aa": "edge3", "bb": "3"}
     (tmp_path / "q.txt").write_text("# c\naa,edge1\nbb  2 # x\n\n")

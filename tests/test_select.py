@@ -77,3 +77,76 @@ def test_every_method_runs():
         picked, placed = placement.run_cell(files, info, name, 0.5, 3, k=2)
         assert set(picked) <= set(files) and set(placed.values()) <= {1, 2, 3} and set(placed) <= set(sizes)
     assert placement.method("LADedup-two") == "ladedup_two"
+
+
+def test_balanced_takes_the_emptiest_server_that_has_room():
+    rng = random.Random(3)
+    for _ in range(200):
+        s = S.Servers(4, [rng.randint(5, 30) for _ in range(4)])
+        s.used, s.count = [rng.randint(0, 9) for _ in range(4)], [rng.randint(0, 3) for _ in range(4)]
+        used, count, want = list(s.used), list(s.count), []
+        chunks = [(c, rng.randint(1, 9)) for c in range(rng.randint(1, 8))]
+        for c, size in chunks:
+            room = [(used[i], count[i], i) for i in range(4) if used[i] + size <= s.limit[i]]
+            if not room:
+                want = None
+                break
+            i = min(room)[2]
+            used[i] += size
+            count[i] += 1
+            want.append((c, size, i))
+        assert s.balanced(chunks) == want
+
+
+def plain_communities(groups, files, benefit, capacity, servers):
+    """Every step over all communities."""
+    stored, out = set(), []
+    size = {c: n for cs in files.values() for c, n in cs}
+    while True:
+        found = []
+        for i, g in enumerate(groups):
+            need = list(dict.fromkeys(c for f in g for c, _ in files[f] if c not in stored))
+            gain = sum(benefit[f] for f in g if any(c not in stored for c, _ in files[f]))
+            d = sum(size[c] for c in need)
+            if i not in out and gain > 0 and sum(size[c] for c in stored) + d <= capacity and (plan := servers.balanced([(c, size[c]) for c in need])) is not None:
+                found.append((-gain / d, i, plan))
+        if not found:
+            return out, {f for f, cs in files.items() if all(c in stored for c, _ in cs)}
+        _, i, plan = min(found, key=lambda x: x[:2])
+        servers.commit(plan)
+        stored |= {c for c, _, _ in plan}
+        out.append(i)
+
+
+def test_community_greedy_is_the_plain_one():
+    for seed in range(60):
+        files, sizes = random_files(seed)
+        rng = random.Random(seed)
+        benefit = {f: rng.randint(0, 9) for f in files}
+        groups = [[f for f in files if f % 3 == k] for k in range(3)] + [[f] for f in files if f > 5]
+        cap = sum({c: s for cs in files.values() for c, s in cs}.values()) * rng.choice([0.3, 0.6, 1.2])
+        assert S.community_greedy(groups, files, benefit, cap, S.Servers(3, cap / 3)) == plain_communities(groups, files, benefit, cap, S.Servers(3, cap / 3))
+
+
+def test_grown_quota_within_the_budget_and_connected():
+    rng = random.Random(9)
+    vertices = {v: (rng.randint(3, 9), rng.randint(1, 9)) for v in range(1, 41)}
+    edges = [(v, v + 1, -1) for v in range(1, 40)]
+    for budget in (10, 40, 90):
+        cost, prize, picked = S.dstp(vertices, edges, budget)
+        assert cost <= budget and prize == sum(vertices[v][1] for v in picked)
+        assert picked == list(range(picked[0], picked[0] + len(picked))) if picked else True
+
+
+def test_cell_keys_change_with_settings_and_inputs():
+    one = placement.cell_key({"method": "mean", "ratio": 0.1}, {"edges": "a"})
+    assert one == placement.cell_key({"ratio": 0.1, "method": "mean"}, {"edges": "a"})
+    assert len({one, placement.cell_key({"method": "mean", "ratio": 0.2}, {"edges": "a"}), placement.cell_key({"method": "mean", "ratio": 0.1}, {"edges": "b"})}) == 3
+
+
+def test_closest_pairs_is_the_scan(spark):
+    rng = random.Random(4)
+    for k in (1, 3, 7, 40):
+        pairs = [(u, v, rng.choice([0.1, 0.2, 0.3, 0.4])) for u, v in itertools.combinations(range(9), 2)]
+        got = graph.closest_pairs(spark.createDataFrame(pairs, "u long, v long, distance double"), k).collect()
+        assert sorted(tuple(r) for r in got) == sorted(graph.smallest_pairs(pairs, k))
