@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents per Arrow batch: long texts must not pile up in one Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: long texts must not pile up in one Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch length to BATCH_ROWS where it is higher (0: unlimited)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes where they are larger (0: unlimited)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def staging(spark: SparkSession) -> str:
@@ -56,6 +57,12 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished rounds, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has an edge.
 
@@ -70,7 +77,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         .distinct()
     )
     e, mark = staged(e, "edges"), None
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
+        if turn == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -1,21 +1,29 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
-Method. Equal vectors are one node. Random hyperplane trees give every node a first list of
-neighbours; NN-descent then improves the lists in rounds of Spark joins: every node is host to its
-neighbours in both directions, their vectors are joined to the host's block, all pairs of a host's
-members are compared there, and what beats a member's worst neighbour goes back to that member. A
-search keeps a beam of the best nodes of each query; a hop expands the beam's new nodes where their
+Method. Equal vectors are one node. Every node starts with the best of a few random others.
+NN-descent then improves the lists in rounds of Spark joins: a node draws SAMPLE of its new and
+SAMPLE of its old neighbours and tells them; a host's members are its drawn neighbours and up to
+SAMPLE new and old ones that drew it; a host's block asks for its members' vectors by a join;
+each new member is compared with all members there, and what beats a member's worst neighbour goes
+to that member's list. Rounds end when less than STILL of all list entries have changed. A search
+keeps a beam of the best nodes of each query; a hop expands the beam's new nodes where their
 adjacency lies, scores the nodes found where their vectors lie, and merges the scores at the query,
 until no beam has a new node.
 
+Scale. A block is a cell of random hyperplanes with about BLOCK nodes, so a node's hosts tend to
+share blocks and their number grows with the data. A vector goes once to each block that asks for
+it, at most as often as its node is drawn. Lists are made with vectors divided by their largest
+component, in float16 beside that component over the largest of all, so any magnitude will do;
+a search scores with the vectors themselves, in double precision.
+
 Skew. A vector that a third of all rows have is one node, with its nodes' k + 1 smallest ids (more
-can't be in a result). Hosts with very many members are split into parts, and hyperplane cells into
-blocks of bounded size; blocks hold about BLOCK nodes, so their number grows with the data.
+cannot be in a result). Of those that draw a node that very many have, each task sends on up to
+SAMPLE, and the host keeps as many; this draw is NN-descent's own.
 
 Defined cases. Vectors that are null, zero, or hold null or non-finite components, and those not of
 the most frequent length (the smaller of equally frequent ones), take no part; nor does a null
 vec_id. Equal rows are one candidate. Fewer candidates than k: all that are found. Ties go to the
-smaller id. An empty table gives an empty result; extra columns are ignored.
+smaller id. An empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkweave.llm._util import bounded_batches, staged, unstage
+from chunkweave.llm._util import bounded_batches, released, staged, unstage
 
-#: Neighbours of a node, hyperplane trees, most rounds, share of changed neighbours that ends them.
-DEGREE, TREES, ROUNDS, STILL = 24, 12, 4, 0.02
-#: Nodes of a block; members of a host before it is split; beam of a query; most hops.
-BLOCK, MEMBERS, BEAM, HOPS = 1024, 256, 192, 24
+#: Neighbours of a node, new and old ones drawn in a round, random others to start from (twice), share of changed entries that ends the rounds.
+DEGREE, SAMPLE, START, STILL = 32, 16, 64, 0.03
+#: Nodes of a block and of a shard of the search; beam of a query.
+BLOCK, SHARD, BEAM = 256, 4096, 128
+#: Low bits of a node that number it within its block.
+NUMBER = 24
 SEED = 4
-_LIST = "node long, ids binary, sims binary"
+_LISTS = "node long, ids binary, sims binary, news binary, fresh long, worst float"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -63,6 +73,19 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, have
 
 
+def _short(x: np.ndarray) -> list[bytes]:
+    """Rows of x, whose components are at most 1, as their largest magnitude in float32 and, divided by it, in float16."""
+    scale = np.maximum(np.abs(x).max(1, initial=0), np.finfo(np.float32).tiny).astype("<f4")
+    halves = (x / scale[:, None].astype(np.float64)).astype("<f2")
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale, halves, strict=True)]
+
+
+def _matrix(vecs: list[bytes]) -> np.ndarray:
+    """Rows of _short() in float32."""
+    raw = np.frombuffer(b"".join(vecs), "u1").reshape(len(vecs), -1)
+    return np.ascontiguousarray(raw[:, 4:]).view("<f2").astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+
+
 def vectors(table: DataFrame) -> tuple[DataFrame, str]:
     """(vec_id, vec) of the rows of table(vec_id, embedding) that take part, and the numbers' type."""
     bounded_batches(table.sparkSession)
@@ -86,186 +109,287 @@ def vectors(table: DataFrame) -> tuple[DataFrame, str]:
 
 
 def nodes_of(rows: DataFrame, k: int) -> DataFrame:
-    """(node, vec, ids): distinct vectors, each with its k + 1 smallest ids; node is the smallest."""
+    """(vec, ids): distinct vectors, each with its k + 1 smallest ids."""
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     few = rows.distinct().withColumn("n", nth).where(F.col("n") <= k + 1)
-    return few.groupBy("vec").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids")).select("node", "vec", "ids")
+    return few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def _block(node: Column | str, blocks: int) -> Column:
-    """Block of a node; block_of() is the same for arrays."""
-    n = F.col(node) if isinstance(node, str) else node
-    mixed = (n.bitwiseAND(F.lit(0x7FFFFFFF)) * 2654435).bitwiseXOR(F.shiftright(n, 31).bitwiseAND(F.lit(0x7FFFFFFF)))
-    return (F.shiftright(mixed, 11) % blocks).cast("int")
 
+def _nth(*keys: np.ndarray) -> np.ndarray:
+    """Place of each entry within the run of equal keys that it stands in."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    line = np.arange(n)
+    return line - np.maximum.accumulate(np.where(new, line, 0)) if n else line
 
-def block_of(nodes: np.ndarray, blocks: int) -> np.ndarray:
-    return ((((nodes & 0x7FFFFFFF) * 2654435) ^ ((nodes >> 31) & 0x7FFFFFFF)) >> 11) % blocks
 
+def _cut(key: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of equal keys."""
+    starts = np.flatnonzero(_nth(key) == 0)
+    return starts.tolist(), np.append(starts[1:], len(key)).tolist() if len(starts) else []
 
-_PACKED = "block int, old boolean, nodes binary, sizes binary, ids binary, sims binary"
 
+def spread(rows: DataFrame, kind: str) -> tuple[float, list[float]]:
+    """Largest magnitude of a component, and the mean vector divided by it; one row for each partition comes here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, most, total = 0, 0.0, np.zeros(0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), kind).reshape(b.num_rows, -1).astype(np.float64)
+            here = max(most, float(np.abs(x).max()))
+            total = (x / here).sum(0) + (total * (most / here) if n else 0)
+            n, most = n + b.num_rows, here
+        if n:
+            yield _batch([(n, most, total.astype("<f8").tobytes())], "n long, most double, total binary")
+
+    found = rows.select("vec").mapInArrow(run, "n long, most double, total binary").collect()
+    if not found:
+        return 1.0, []
+    most = max(r["most"] for r in found)
+    total = sum(np.frombuffer(r["total"], "<f8") * (r["most"] / most) for r in found)
+    return most, (total / sum(r["n"] for r in found)).tolist()
+
+
+def numbered(rows: DataFrame, kind: str, n: int) -> DataFrame:
+    """(node, vec, small, ids): node is `block << NUMBER | number`, small the vector over the largest magnitude, see _short().
+
+    A block is a cell of random hyperplanes through the mean vector; a cell of over BLOCK nodes is
+    several blocks. Hosts with a block in common are compared in one place.
+    """
+    most, mean = spread(rows, kind)
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(SEED).standard_normal((len(mean), bits))
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), kind).reshape(b.num_rows, len(mean) or 1).astype(np.float64) / most
+            code = ((x - mean) @ planes > 0) @ (1 << np.arange(bits)) if b.num_rows and bits else np.zeros(b.num_rows, np.int64)
+            small = _short(x)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), b.column(0), pa.array(small, pa.binary()), b.column(1)], ["cell", "vec", "small", "ids"])
 
-def _messages(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, blocks: int, old: bool) -> pa.RecordBatch:
-    """Entries (node, id, sim) with a node's ones together, as one row for each block of nodes."""
-    to = block_of(nodes, blocks)
-    order = np.lexsort((nodes, to))
-    to, nodes, ids, sims = to[order], nodes[order], ids[order], sims[order]
-    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
-    rows = []
-    for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=False):
+    celled = staged(rows.select("vec", "ids").mapInArrow(cells, "cell long, vec binary, small binary, ids array<long>"), "cells")
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("vec"), F.col("parts"))
+    placed = celled.join(sizes, "cell").withColumn("block", F.shiftrightunsigned(F.xxhash64("cell", part), NUMBER + 1))
+    number = F.row_number().over(Window.partitionBy("block").orderBy(F.col("ids")[0]))
+    return placed.select((F.shiftleft("block", NUMBER) + number).alias("node"), "vec", "small", "ids")
+
+
+def _block(node: Column | str) -> Column:
+    return F.shiftright(F.col(node) if isinstance(node, str) else node, NUMBER)
+
+
+_PACKED = "block long, old boolean, nodes binary, sizes binary, ids binary, sims binary, news binary"
+_KINDS = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _messages(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, news: np.ndarray, old: bool) -> pa.RecordBatch:
+    """Entries (node, id, sim, new) as one row for each block of nodes."""
+    order = np.argsort(nodes, kind="stable")
+    nodes, ids, sims, news = nodes[order], ids[order], sims[order], news[order]
+    to, rows = nodes >> NUMBER, []
+    for at, end in zip(*_cut(to), strict=True):
         each, sizes = np.unique(nodes[at:end], return_counts=True)
-        rows.append((int(to[at]), old, each.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), ids[at:end].astype("<i8").tobytes(), sims[at:end].astype("<f4").tobytes()))
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "old", "nodes", "sizes", "ids", "sims"])
+        rows.append((int(to[at]), old, each.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), ids[at:end].astype("<i8").tobytes(), sims[at:end].astype("<f4").tobytes(), news[at:end].astype("u1").tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], ["block", "old", "nodes", "sizes", "ids", "sims", "news"])
 
 
-def _packed(lists: DataFrame, blocks: int, old: bool) -> DataFrame:
-    """lists(node, ids, sims) as messages to the nodes' blocks."""
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Entries (node, id, sim, new) of a batch of lists(node, ids, sims, news)."""
+    ids, sims, news = ([np.frombuffer(x, kind) for x in b.column(i).to_pylist()] for i, kind in ((1, "<i8"), (2, "<f4"), (3, "u1")))
+    nodes = np.repeat(b.column(0).to_numpy(), [len(x) for x in ids]).astype(np.int64)
+    return nodes, np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*sims, np.zeros(0, np.float32)]), np.concatenate([*news, np.zeros(0, np.uint8)]).astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sims = ([np.frombuffer(x, kind) for x in b.column(i).to_pylist()] for i, kind in ((1, "<i8"), (2, "<f4")))
-            nodes = np.repeat(b.column(0).to_numpy(), [len(x) for x in ids])
-            yield _messages(nodes, np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*sims, np.zeros(0, np.float32)]), blocks, old)
 
-    return lists.select("node", "ids", "sims").mapInArrow(run, _PACKED)
+def _few(nodes: np.ndarray, others: np.ndarray, news: np.ndarray, turn: int) -> np.ndarray:
+    """Mask of up to SAMPLE new and SAMPLE old entries of each node: the same ones whenever it is asked."""
+    lot = _mixed(_mixed(nodes) ^ others.astype(np.uint64) ^ np.uint64(turn << 50))
+    order = np.lexsort((lot, news, nodes))
+    out = np.zeros(len(nodes), bool)
+    out[order[_nth(nodes[order], news[order]) < SAMPLE]] = True
+    return out
 
 
-def _merged(messages: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """One list of every node, empty if no message is for it: (node, ids, sims, fresh), fresh being how many ids no `old` message had."""
+def _merged(messages: DataFrame, tag: str) -> DataFrame:
+    """One list of every node that a message is for: (node, ids, sims, news, fresh), fresh being how many ids no `old` message had."""
     parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = f"{_LIST}, fresh long"
 
     def fold(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         node = np.concatenate([np.repeat(np.frombuffer(r[1], "<i8"), np.frombuffer(r[2], "<i4")) for r in rows])
-        ids, sims = np.concatenate([np.frombuffer(r[3], "<i8") for r in rows]), np.concatenate([np.frombuffer(r[4], "<f4") for r in rows])
+        ids, sims, news = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((3, "<i8"), (4, "<f4"), (5, "u1")))
         old = np.repeat([r[0] for r in rows], [len(r[3]) // 8 for r in rows])
         order = np.lexsort((~old, ids, node))  # an entry that was there before comes before its repeats
-        node, ids, sims, old = node[order], ids[order], sims[order], old[order]
-        keep = np.append(True, (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])) & (ids != node)
-        node, ids, sims, old = node[keep], ids[keep], sims[keep], old[keep]
+        node, ids, sims, news, old = (x[order] for x in (node, ids, sims, news, old))
+        keep = (_nth(node, ids) == 0) & (ids != node)
+        node, ids, sims, news, old = (x[keep] for x in (node, ids, sims, news, old))
         order = np.lexsort((ids, -sims, node))
-        node, ids, sims, old = node[order], ids[order], sims[order], old[order]
-        cut = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else node
-        out = [(int(node[a]), ids[a : min(a + size, z)].tobytes(), sims[a : min(a + size, z)].tobytes(), int((~old[a : min(a + size, z)]).sum())) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(node)], strict=False)]
-        yield from _batches(out, schema)
+        node, ids, sims, news, old = (x[order] for x in (node, ids, sims, news, old))
+        out = []
+        for at, end in zip(*_cut(node), strict=True):
+            end = min(end, at + DEGREE)
+            out.append((int(node[at]), ids[at:end].tobytes(), sims[at:end].tobytes(), news[at:end].tobytes(), int((~old[at:end]).sum()), float(sims[end - 1]) if end - at >= DEGREE else -np.inf))
+        yield from _batches(out, _LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 1):
             yield from fold(rows)
 
-    lists = messages.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, schema)
-    found = staged(lists, "lists")
-    alone = nodes.select("node").join(found.select("node"), "node", "left_anti")
-    return found.unionByName(alone.select("node", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(0).cast("long").alias("fresh")))
+    return staged(messages.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, _LISTS), tag)
 
 
-def _first_lists(nodes: DataFrame, kind: str, n: int, blocks: int) -> DataFrame:
-    """Best neighbours within the cells of random hyperplane trees."""
-    bits = max(0, round(np.log2(max(n, 1) / BLOCK)))
+def first_lists(nodes: DataFrame) -> DataFrame:
+    """Every node's best of up to 2 x START random others: START of its own block, START of a group that a hash deals."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-nodes.count() // BLOCK))
+    dealt = nodes.select(F.explode(F.array(_block("node"), F.pmod(F.xxhash64("node"), F.lit(groups)) - groups)).alias("g"), "node", "small")
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), kind).reshape(b.num_rows, -1).astype(np.float32) if b.num_rows else np.zeros((0, 1), np.float32)
-            planes = np.random.default_rng(SEED).standard_normal((TREES, x.shape[1], max(bits, 1))).astype(np.float32)
-            small = [r.tobytes() for r in x.astype("<f2")]
-            for t in range(TREES):
-                code = ((x @ planes[t] > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pa.array(code.astype(np.int64)), b.column(0), pa.array(small, pa.binary())], ["tree", "cell", "node", "vec"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (g,), rows in _groups(batches, 1):
+            rows = sorted(rows)
+            ids, x = np.array([r[0] for r in rows]), _matrix([r[1] for r in rows])
+            if len(ids) < 2:
+                continue
+            steps = 1 + np.random.default_rng([SEED, g & (2**63 - 1)]).permutation(len(ids) - 1)[:START]
+            other = (np.arange(len(ids))[:, None] + steps) % len(ids)
+            sims = np.concatenate([np.einsum("nd,nkd->nk", x[a : a + 256], x[other[a : a + 256]]) for a in range(0, len(ids), 256)])
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :DEGREE]
+            own, other, sims = np.repeat(ids, best.shape[1]), ids[np.take_along_axis(other, best, 1)].ravel(), np.take_along_axis(sims, best, 1).ravel()
+            yield _messages(own, other, sims, np.ones(len(own), bool), False)
 
-    celled = staged(nodes.select("node", "vec").mapInArrow(cells, "tree int, cell long, node long, vec binary"), "cells")
-    sizes = celled.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("n"))
-    split = celled.join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("n")).cast("int"))
+    sent = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, _PACKED)
+    return _merged(sent, "graph")
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 3):
-            ids = np.array([r[0] for r in rows])
-            x = np.frombuffer(b"".join(r[1] for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32)
-            out = []
-            for at in range(0, len(ids), 512):
-                s = x[at : at + 512] @ x.T
-                s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-                few = min(DEGREE, len(ids) - 1)
-                if few:
-                    top = np.argpartition(-s, few - 1, axis=1)[:, :few]
-                    sims = np.take_along_axis(s, top, 1).astype("<f4")
-                    out += [(int(ids[at + i]), ids[top[i]].astype("<i8").tobytes(), sims[i].tobytes()) for i in range(len(s))]
-            yield from _batches(out, _LIST)
-
-    lists = split.select("tree", "cell", "part", "node", "vec").repartition(parts, "tree", "cell", "part").sortWithinPartitions("tree", "cell", "part").mapInArrow(best, _LIST)
-    return _merged(_packed(lists, blocks, False), nodes, DEGREE)
-
-
-def _descend(nodes: DataFrame, graph: DataFrame, kind: str, blocks: int) -> DataFrame:
-    """One round: messages of candidates from comparing all members of each host."""
+
+_HOSTS = "block long, hosts binary, sizes binary, members binary, news binary"
+
+
+def _hosts(graph: DataFrame, turn: int) -> DataFrame:
+    """One row for each block: its hosts and their members, `news` telling the new ones."""
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
-            own = np.repeat(b.column(0).to_numpy(), [len(x) for x in lists])
-            other = np.concatenate([*lists, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, other])), pa.array(np.concatenate([other, own]))], ["host", "node"])
-
-    edges = graph.select("node", "ids").mapInArrow(ways, "host long, node long").distinct()
-    hosts = edges.groupBy("host").agg(F.ceil(F.count("*") / MEMBERS).alias("n")).where("n > 1")
-    split = edges.join(hosts, "host", "left").withColumn("part", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("n"))).cast("int"))
-    needed = split.groupBy(F.pmod(F.xxhash64("host", "part"), F.lit(blocks)).cast("int").alias("block"), "node").agg(F.collect_list(F.struct("host", "part")).alias("hosts"))
+            own, other, _, new = _flat(b)
+            few = _few(own, other, new, turn)
+            own, other, new = own[few], other[few], new[few]
+            # Of those here that drew the same node a host needs no more than it can keep.
+            lot = _mixed(_mixed(other) ^ own.astype(np.uint64) ^ np.uint64(turn << 50))
+            order = np.lexsort((lot, new, other))
+            back = order[_nth(other[order], new[order]) < SAMPLE]
+            none = np.zeros(len(own), np.float32)
+            yield _messages(own, other, none, new, False)
+            yield _messages(other[back], own[back], none[: len(back)], new[back], True)  # old: told by the other one
+
+    sent = graph.select("node", "ids", "sims", "news").mapInArrow(drawn, _PACKED)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block,), rows in _groups(batches, 1):
+            host = np.concatenate([np.repeat(np.frombuffer(r[1], "<i8"), np.frombuffer(r[2], "<i4")) for r in rows])
+            member, new = np.concatenate([np.frombuffer(r[3], "<i8") for r in rows]), np.concatenate([np.frombuffer(r[5], "u1") for r in rows]).astype(bool)
+            told = np.repeat([r[0] for r in rows], [len(r[3]) // 8 for r in rows])
+            lot = _mixed(_mixed(host) ^ member.astype(np.uint64) ^ np.uint64(turn << 50))
+            order = np.lexsort((lot, new, told, host))
+            host, member, new, told = host[order], member[order], new[order], told[order]
+            keep = (_nth(host, told, new) < SAMPLE) | ~told
+            host, member, new = host[keep], member[keep], new[keep]
+            order = np.lexsort((~new, member, host))
+            host, member, new = host[order], member[order], new[order]
+            keep = _nth(host, member) == 0
+            host, member, new = host[keep], member[keep], new[keep]
+            each, sizes = np.unique(host, return_counts=True)
+            row = (block, each.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), member.astype("<i8").tobytes(), new.astype("u1").tobytes())
+            yield _batch([row], _HOSTS)
+
+    return staged(sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, _HOSTS), "hosts")
+
+
+def _compared(hosts: DataFrame, graph: DataFrame, small: DataFrame) -> DataFrame:
+    """Messages of candidates from comparing each host's new members with all of its members."""
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for node, vec, sims in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = np.frombuffer(sims, "<f4")
-                out.append((node, np.frombuffer(vec, kind).astype("<f2").tobytes(), float(s[-1]) if len(s) >= DEGREE else -np.inf))
-            yield _batch(out, "node long, vec binary, worst float")
+            for block, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                each = np.unique(np.frombuffer(members, "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), block, np.int64))], ["node", "block"])
 
-    held = nodes.join(graph, "node").select("node", "vec", "sims").mapInArrow(small, "node long, vec binary, worst float")
-    sent = needed.join(held, "node").select("block", "node", "hosts", "vec", "worst").repartition(parts, "block").sortWithinPartitions("block")
+    wanted = hosts.select("block", "members").mapInArrow(asked, "node long, block long")
+    held = small.join(graph.select("node", "worst"), "node")
+    body = ["hosts", "sizes", "members", "news"]
+    vecs = wanted.join(held, "node").select("block", F.lit(0).alias("last"), "node", "small", "worst", *(F.lit(None).cast("binary").alias(c) for c in body))
+    plans = hosts.select("block", F.lit(1), F.lit(None).cast("long"), F.lit(None).cast("binary"), F.lit(None).cast("float"), *body)
+    sent = vecs.union(plans).repartition(parts, "block").sortWithinPartitions("block", "last")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 1):
-            ids = np.array([r[0] for r in rows])
-            x = np.frombuffer(b"".join(r[2] for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32)
-            worst = np.array([r[3] for r in rows], np.float32)
-            of: dict[tuple, list[int]] = {}
-            for i, r in enumerate(rows):
-                for h in r[1]:
-                    of.setdefault((h["host"], h["part"]), []).append(i)
-            a, b, c = [], [], []
-            for members in of.values():
-                m = np.array(members)
-                s = x[m] @ x[m].T
-                i, j = np.nonzero(s > worst[m][:, None])
-                keep = i != j
-                a.append(m[i[keep]])
-                b.append(m[j[keep]])
-                c.append(s[i[keep], j[keep]])
-            i, j, s = np.concatenate(a), np.concatenate(b), np.concatenate(c)
+            rows = sorted(rows, key=lambda r: (r[0], r[1] or 0))
+            _, _, _, _, _, sizes, members, news = rows.pop()
+            ids, x, worst = np.array([r[1] for r in rows]), _matrix([r[2] for r in rows]), np.array([r[3] for r in rows], np.float32)
+            at, new = np.searchsorted(ids, np.frombuffer(members, "<i8")), np.frombuffer(news, "u1").astype(bool)
+            ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+            found: list[tuple] = []
+            for start, end in zip([0, *ends], ends, strict=False):
+                m = at[start:end]
+                a = m[new[start:end]]
+                if len(a):
+                    s = x[a] @ x[m].T
+                    i, j = np.nonzero(s > np.minimum(worst[a][:, None], worst[m]))
+                    found.append((a[i], m[j], s[i, j]))
+            if not found:
+                continue
+            a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            i, j, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+            keep = (i != j) & (s > worst[i])
+            i, j, s = i[keep], j[keep], s[keep]
+            keep = np.unique(i * len(ids) + j, return_index=True)[1]  # a pair that met at several hosts
+            i, j, s = i[keep], j[keep], s[keep]
             order = np.lexsort((j, -s, i))
             i, j, s = i[order], j[order], s[order]
-            new = np.append(True, i[1:] != i[:-1])[: len(i)]
-            nth = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-            keep = (nth < 2 * DEGREE) if len(i) else nth > 0  # a pair that met at two hosts is there twice
-            yield _messages(ids[i[keep]], ids[j[keep]], s[keep], blocks, False)
+            # DEGREE of 2 x DEGREE different ones aren't there yet, so no later one can enter the list
+            keep = _nth(i) < 2 * DEGREE
+            yield _messages(ids[i[keep]], ids[j[keep]], s[keep], np.ones(int(keep.sum()), bool), False)
 
     return sent.mapInArrow(compare, _PACKED)
 
 
-def neighbour_graph(nodes: DataFrame, kind: str, n: int, blocks: int) -> DataFrame:
-    """(node, ids, sims): lists of up to DEGREE neighbours, best first."""
-    graph = staged(_first_lists(nodes, kind, n, blocks), "graph")
-    for _ in range(ROUNDS):
-        messages = _packed(graph, blocks, True).unionByName(_descend(nodes, graph, kind, blocks))
-        nxt = staged(_merged(messages, nodes, DEGREE), "graph")
+def _standing(graph: DataFrame, turn: int) -> DataFrame:
+    """The lists as messages to themselves; what was drawn in this round is no longer new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, other, sims, new = _flat(b)
+            yield _messages(own, other, sims, new & ~_few(own, other, new, turn), True)
+
+    return graph.select("node", "ids", "sims", "news").mapInArrow(run, _PACKED)
+
+
+def neighbour_graph(nodes: DataFrame, n: int) -> DataFrame:
+    """(node, ids, sims, ...): lists of up to DEGREE neighbours, best first."""
+    small = nodes.select("node", "small")
+    graph, turn = first_lists(nodes.select("node", "small")), 0
+    while True:
+        hosts = _hosts(graph, turn)
+        nxt = _merged(_standing(graph, turn).unionByName(_compared(hosts, graph, small)), "graph")
+        unstage(hosts)
         unstage(graph)
-        graph = nxt
-        if (graph.agg(F.sum("fresh")).first()[0] or 0) < STILL * n * DEGREE:
-            break
-    return graph
+        released(small.sparkSession)
+        graph, turn = nxt, turn + 1
+        if (graph.agg(F.sum("fresh")).first()[0] or 0) <= STILL * n * DEGREE:
+            return graph
 
 
 def _adjacency(graph: DataFrame) -> DataFrame:
@@ -289,101 +413,111 @@ def _adjacency(graph: DataFrame) -> DataFrame:
     return graph.join(near, "node", "left").select("node", "ids", "back").mapInArrow(both, "node long, ids binary")
 
 
-def _search(nodes: DataFrame, adjacency: DataFrame, queries: DataFrame, kind: str, blocks: int, k: int) -> DataFrame:
+def _shard(node: Column | str, shards: int) -> Column:
+    """Shard of a node in the search: whole blocks, about SHARD nodes."""
+    return (_block(node) % shards).cast("int")
+
+
+def _by_shard(query: int, ids: np.ndarray, shards: int) -> Iterator[tuple]:
+    to = (ids >> NUMBER) % shards
+    order = np.argsort(to, kind="stable")
+    ids, to = ids[order], to[order]
+    for at, end in zip(*_cut(to), strict=True):
+        yield query, int(to[at]), ids[at:end].astype("<i8").tobytes()
+
+
+def _search(nodes: DataFrame, adjacency: DataFrame, queries: DataFrame, kind: str, n: int, k: int) -> DataFrame:
     """(query, ids, sims): the beam of each query(query, vec), whose own node is where it starts."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    beam = max(BEAM, k + 1)
-    near = staged(adjacency.select(_block("node", blocks).alias("block"), "node", "ids"), "adjacency")
-    held = nodes.select(_block("node", blocks).alias("block"), "node", "vec")
-    state = staged(queries.select("query", "vec", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sims"), F.lit(None).cast("array<long>").alias("new_nodes")), "beams")
-    for hop in range(HOPS):
-        if hop == 0:
-            todo = state.select(_block("query", blocks).alias("block"), "query", "vec", F.col("query").alias("node"))
-        else:
-            todo = state.select("query", "vec", F.explode("new_nodes").alias("node")).select(_block("node", blocks).alias("block"), "query", "vec", "node")
-        pack = todo.groupBy("block", "query", "vec").agg(F.collect_list("node").alias("nodes"))
-
-        def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, mine = None, {}
-            for b in batches:
-                q, v, w = [], [], []
-                for blk, last, i, a, c, asked in zip(*(b.column(j).to_pylist() for j in range(6)), strict=True):
-                    if blk != block:
-                        block, mine = blk, {}
-                    if not last:
-                        mine[i] = a
-                    else:
-                        found = np.unique(np.concatenate([np.frombuffer(mine.get(x, b""), "<i8") for x in asked]))
-                        q.append(i)
-                        v.append(c)
-                        w.append(found.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.binary()), pa.array(w, pa.list_(pa.int64()))], ["query", "vec", "nodes"])
-
-        mine = near.select("block", F.lit(0).alias("last"), F.col("node").alias("id"), F.col("ids").alias("a"), F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("array<long>").alias("asked"))
-        theirs = pack.select("block", F.lit(1), "query", F.lit(None).cast("binary"), "vec", "nodes")
-        found = mine.union(theirs).repartition(parts, "block").sortWithinPartitions("block", "last").mapInArrow(expand, "query long, vec binary, nodes array<long>")
-        # The nodes found, to where their vectors are; each once for a query and block.
-        asked = found.select("query", "vec", F.explode("nodes").alias("node")).groupBy(_block("node", blocks).alias("block"), "query", "vec").agg(F.collect_set("node").alias("nodes"))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, mine = None, {}
-            for b in batches:
-                out: list[tuple] = []
-                for blk, last, i, a, asked_ in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
-                    if blk != block:
-                        block, mine = blk, {}
-                    if not last:
-                        mine[i] = a
-                    else:
-                        ids = np.array([x for x in asked_ if x in mine], "<i8")
-                        x = np.frombuffer(b"".join([mine[j] for j in ids.tolist()]), kind).reshape(len(ids), -1).astype(np.float64)
-                        sims = x @ np.frombuffer(a, kind).astype(np.float64) if len(ids) else np.zeros(0)
-                        if len(ids) > beam:
-                            top = np.argpartition(-sims, beam)[:beam]
-                            ids, sims = ids[top], sims[top]
-                        out.append((i, ids.tobytes(), sims.astype("<f8").tobytes()))
-                yield _batch(out, "query long, ids binary, sims binary")
-
-        mine = held.select("block", F.lit(0).alias("last"), F.col("node").alias("id"), F.col("vec").alias("a"), F.lit(None).cast("array<long>").alias("asked"))
-        theirs = asked.select("block", F.lit(1), "query", "vec", "nodes")
-        scored = mine.union(theirs).repartition(parts, "block").sortWithinPartitions("block", "last").mapInArrow(score, "query long, ids binary, sims binary")
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows: dict[str, list] = {c: [] for c in ("query", "vec", "ids", "sims", "new")}
-            for (query,), group in _groups(batches, 1):
-                vec = next((g[0] for g in group if g[0] is not None), None)
-                old = [np.frombuffer(g[1], "<i8") for g in group if g[0] is not None and g[1] is not None]
-                ids = np.concatenate([*(np.frombuffer(g[1], "<i8") for g in group if g[1] is not None), np.zeros(0, np.int64)])
-                sims = np.concatenate([*(np.frombuffer(g[2], "<f8") for g in group if g[2] is not None), np.zeros(0)])
-                order = np.lexsort((ids, -sims))
-                ids, sims = ids[order], sims[order]
-                first = np.sort(np.unique(ids, return_index=True)[1])[:beam]
-                ids, sims = ids[first], sims[first]
-                new = ids[~np.isin(ids, old[0])] if old else ids
-                for c, x in zip(rows, (query, vec, ids.tobytes(), sims.astype("<f8").tobytes(), new[new != query].tolist()), strict=True):
-                    rows[c].append(x)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), kinds, strict=True)], ["query", "vec", "ids", "sims", "new_nodes"])
-
-        replies = scored.select("query", F.lit(None).cast("binary").alias("vec"), "ids", "sims")
-        sofar = state.select("query", "vec", "ids", "sims").union(replies)
-        nxt = staged(sofar.repartition(parts, "query").sortWithinPartitions("query").mapInArrow(merge, "query long, vec binary, ids binary, sims binary, new_nodes array<long>"), "beams")
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    beam, shards = max(BEAM, k + 1), max(1, -(-n // SHARD))
+    near = staged(adjacency.select(_shard("node", shards).alias("shard"), "node", "ids"), "adjacency")
+    held = nodes.select(_shard("node", shards).alias("shard"), "node", "vec")
+    none = F.lit(None).cast("binary")
+    state = staged(queries.select("query", "vec", none.alias("ids"), none.alias("sims"), F.array("query").alias("new_nodes")), "beams")
+
+    def dealt(mine: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
+        """Rows of both in one partition for each key, `mine` first."""
+        return mine.union(theirs).repartition(parts, key).sortWithinPartitions(key, "last")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, mine = None, {}
+        for b in batches:
+            out: list[tuple] = []
+            for s, last, i, ids, asked in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+                if s != shard:
+                    shard, mine = s, {}
+                if not last:
+                    mine[i] = ids
+                else:
+                    found = np.frombuffer(b"".join([mine.get(x, b"") for x in asked]), "<i8")
+                    out.append((i, np.unique(found).astype("<i8").tobytes()))
+            yield _batch(out, "query long, ids binary")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (query,), rows in _groups(batches, 1):
+            vec, have = next((v, np.frombuffer(i or b"", "<i8")) for last, v, i in rows if not last)
+            found = np.unique(np.concatenate([np.frombuffer(i, "<i8") for last, _, i in rows if last] or [have[:0]]))
+            new = found[~np.isin(found, np.append(have, query))]
+            yield _batch([(q, s, vec, i) for q, s, i in _by_shard(query, new, shards)], "query long, shard int, vec binary, ids binary")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, mine = None, {}
+        for b in batches:
+            out: list[tuple] = []
+            for s, last, i, vec, asked in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+                if s != shard:
+                    shard, mine = s, {}
+                if not last:
+                    mine[i] = vec
+                else:
+                    ids = np.frombuffer(asked, "<i8")
+                    x = np.frombuffer(b"".join([mine[j] for j in ids.tolist()]), kind).reshape(len(ids), -1).astype(np.float64)
+                    sims = x @ np.frombuffer(vec, kind).astype(np.float64)
+                    if len(ids) > beam:
+                        top = np.argpartition(-sims, beam)[:beam]
+                        ids, sims = ids[top], sims[top]
+                    out.append((i, ids.tobytes(), sims.astype("<f8").tobytes()))
+            yield _batch(out, "query long, ids binary, sims binary")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, list] = {c: [] for c in ("query", "vec", "ids", "sims", "new_nodes")}
+        for (query,), group in _groups(batches, 1):
+            vec, old = next((g[1], np.frombuffer(g[2] or b"", "<i8")) for g in group if not g[0])
+            ids, sims = np.concatenate([np.frombuffer(g[2] or b"", "<i8") for g in group]), np.concatenate([np.frombuffer(g[3] or b"", "<f8") for g in group])
+            order = np.lexsort((ids, -sims))[:beam]
+            ids, sims = ids[order], sims[order]
+            for c, x in zip(rows, (query, vec, ids.tobytes(), sims.astype("<f8").tobytes(), ids[~np.isin(ids, old)].tolist()), strict=True):
+                rows[c].append(x)
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), kinds, strict=True)], list(rows))
+
+    while True:  # a node that has left a beam cannot come back, so beams come to a standstill
+        todo = state.select("query", F.explode("new_nodes").alias("node")).groupBy(_shard("node", shards).alias("shard"), "query").agg(F.collect_list("node").alias("asked"))
+        lists = near.select("shard", F.lit(0).alias("last"), F.col("node").alias("id"), "ids", F.lit(None).cast("array<long>").alias("asked"))
+        found = dealt(lists, todo.select("shard", F.lit(1), "query", none, "asked"), "shard").mapInArrow(expand, "query long, ids binary")
+        busy = state.where(F.size("new_nodes") > 0)
+        new = dealt(busy.select("query", F.lit(0).alias("last"), "vec", "ids"), found.select("query", F.lit(1), none, "ids"), "query").mapInArrow(gather, "query long, shard int, vec binary, ids binary")
+        vecs = held.select("shard", F.lit(0).alias("last"), F.col("node").alias("id"), "vec", none.alias("asked"))
+        scored = dealt(vecs, new.select("shard", F.lit(1), "query", "vec", "ids"), "shard").mapInArrow(score, "query long, ids binary, sims binary")
+        sofar = state.select("query", F.lit(0).alias("last"), "vec", "ids", "sims")
+        nxt = staged(dealt(sofar, scored.select("query", F.lit(1), none, "ids", "sims"), "query").mapInArrow(merge, "query long, vec binary, ids binary, sims binary, new_nodes array<long>"), "beams")
         unstage(state)
+        released(spark)
         state = nxt
         if state.where(F.size("new_nodes") > 0).isEmpty():
-            break
-    return state.select("query", "ids", "sims")
+            return state.select("query", "ids", "sims")
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row whose vec_id is divisible by `every`."""
     rows, kind = vectors(table)
-    nodes = staged(nodes_of(rows, k), "nodes")
-    n = nodes.count()
-    blocks = max(1, -(-n // BLOCK))
-    graph = neighbour_graph(nodes, kind, n, blocks)
+    each = staged(nodes_of(rows, k), "vectors")
+    n = each.count()
+    nodes = staged(numbered(each, kind, n), "nodes")
+    graph = neighbour_graph(nodes, n)
     asking = staged(rows.where(F.col("vec_id") % every == 0).distinct().join(nodes.select("node", "vec"), "vec").select("vec_id", "node", "vec"), "queries")
-    beams = _search(nodes, _adjacency(graph), asking.select(F.col("node").alias("query"), "vec").distinct(), kind, blocks, k)
+    beams = _search(nodes, _adjacency(graph), asking.select(F.col("node").alias("query"), "vec").distinct(), kind, n, k)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
