@@ -103,7 +103,6 @@ def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of docs(doc_id, text), longer documents cut at the capacity."""
     bounded_batches(docs.sparkSession)
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chunkweave.llm.tokens import words_of
@@ -111,17 +110,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
         words = words_of(tokenizer, byte_level=False)
         for b in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part)))
+            ids, ends = words.encode(b.column(1), end_id)
+            data, ends = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
+            for doc, first, last in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+                for k, at in enumerate(range(first, last, capacity)):
+                    part = data[4 * at : 4 * min(at + capacity, last)]
+                    rows.append((doc, k, at - first, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("b"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

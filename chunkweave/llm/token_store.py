@@ -3,13 +3,19 @@
 Method. A gear hash rolls over each document's ids and cuts them into chunks; a chunk's address is
 its digest. Every distinct chunk is stored once, in the pack row of the smallest document that has
 it; a document's recipe lists the digests, in order, with their lengths, and says which are stored
-elsewhere. Pack files hold the documents in ascending doc_id order with their start in the whole id
-stream; a document's Merkle root is over its recipe, a file's manifest over its documents' roots.
-Reading resolves foreign chunks by digest, rebuilds each document, and verifies every chunk's
-digest, the document's root and the manifests, or raises.
+elsewhere. Pack files, and the rows in them, are in ascending doc_id order, with each document's
+start in the whole id stream. A document's root is over its doc_id, start, length and the Merkle
+root of its recipe; a range's manifest is over its documents' roots; the store's root is over the
+manifests, whose ranges follow each other. Reading compares the manifests both ways, follows their
+starts up to the store's root, resolves foreign chunks by digest, rebuilds each document, and
+verifies every chunk's digest and the document's root, or raises.
+
+Skew. A range's bounds come from the doc_ids; an id that fills several ranges is dealt to all of
+them by its text. Joins on a digest are plain sort-merge joins, of which AQE splits a hot digest's uses.
 
 Defined cases. A null text is empty and has the end id only. Documents are ordered by doc_id (null
-first); repeated rows of one doc_id are in any order, and each keeps its own start. An empty table gives an empty store. Extra columns are ignored.
+first); repeated rows of one doc_id are in any order, and each keeps its own start. An empty table
+gives an empty store. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,45 +77,54 @@ def merkle(leaves: list[bytes]) -> bytes:
 def packed(ids: np.ndarray) -> bytes:
     """Ids as they are stored: two bytes each where they fit, then compressed."""
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4" if wide else "<u2").tobytes())
+    return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u4" if wide else "<u2").tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:], max_output_size=1 << 31), "<u4" if data[0] else "<u2").astype("<u4")
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u4" if data[0] else "<u2").astype("<u4")
+
+
+def leaf(doc: int | None, start: int, n: int, recipe: bytes) -> bytes:
+    """Root of a document: over its id, place and length, and its recipe's root."""
+    return address(repr((doc, start, n)).encode() + b"\2" + recipe)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids binary, digests array<binary>, lengths array<int>, root binary)."""
+def _bounds(docs: DataFrame, parts: int) -> list[int]:
+    """Lowest doc_ids of all ranges but the first; an id that fills several ranges is there several times."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("b")).first()["b"] or [] if parts > 1 else []
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """(part, doc_id, n_tokens, ids binary, digests array<binary>, lengths array<int>, root binary); part is the number of doc_id's range."""
     bounded_batches(docs.sparkSession)
-    end = end_id.to_bytes(4, "little")
+    schema = "part int, doc_id long, n_tokens long, ids binary, digests array<binary>, lengths array<int>, root binary"
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chunkweave.llm.tokens import words_of
 
-        words = words_of(tokenizer, byte_level=True)
+        words, limits = words_of(tokenizer, byte_level=True), np.array(bounds, np.int64)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for data in words.encode(b.column(1).to_pylist()):
-                data += end
-                ids, at, digests, lengths = np.frombuffer(data, "<u4"), 0, [], []
+            every, ends = words.encode(b.column(1), end_id)
+            data, ends = every.astype("<u4").tobytes(), ends.tolist()
+            for first, last in zip(ends, ends[1:], strict=False):
+                ids, at, digests, lengths = every[first:last], first, [], []
                 for to in cuts(ids):
-                    digests.append(address(data[4 * at : 4 * to]))
-                    lengths.append(to - at)
-                    at = to
+                    digests.append(address(data[4 * at : 4 * (first + to)]))
+                    lengths.append(first + to - at)
+                    at = first + to
                 for c, v in zip(cols, (len(ids), packed(ids), digests, lengths, merkle(digests)), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "ids", "digests", "lengths", "root"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, digests array<binary>, lengths array<int>, root binary")
+            key = b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(limits, key, "left"), np.searchsorted(limits, key, "right")
+            deal = np.array([zlib.crc32(r) for r in cols[4]], np.int64)
+            part = np.where(high > low, low + 1 + deal % np.maximum(high - low, 1), high)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
-
-def _part(rows: DataFrame, key: Column, parts: int) -> Column:
-    """Number of the range that a key falls in; the bounds are fewer than the shuffle's partitions."""
-    bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -128,10 +143,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Packs under path/packs, manifests under path/manifests. Ids are shuffled once, to their range."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged(encoded(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
+    rows = staged(encoded(docs, tokenizer, end_id, _bounds(docs, parts)).withColumn("row", F.monotonically_increasing_id()), "ids")
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    part = _part(rows, key, parts)
-    starts = _starts(rows.select(part.alias("part"), key.alias("k"), "row", "n_tokens"))
+    starts = _starts(rows.select("part", key.alias("k"), "row", "n_tokens"))
 
     # Where each chunk that more than one place has is stored: the first document's first place.
     uses = rows.select(key.alias("k"), "row", F.posexplode("digests").alias("at", "digest"))
@@ -145,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     body = ["doc_id", "n_tokens", "ids", "digests", "lengths", "root"]
     none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in body]
     tagged = placed.select("part", "k", "row", F.lit(0).alias("last"), "start", "states", *none).union(
-        rows.select(part, key, "row", F.lit(1), F.lit(None).cast("long"), F.lit(None).cast("map<int,int>"), *body)
+        rows.select("part", key, "row", F.lit(1), F.lit(None).cast("long"), F.lit(None).cast("map<int,int>"), *body)
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +175,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                     every, to = unpacked(ids), np.cumsum(lengths)
                     mine = [every[e - m : e] for e, m, state in zip(to, lengths, said, strict=True) if state != FOREIGN]
                     ids = packed(np.concatenate(mine) if mine else every[:0])
-                out.append((part, doc, start, n, ids, digests, lengths, bytes(said), root))
+                out.append((part, doc, start, n, ids, digests, lengths, bytes(said), leaf(doc, start, n, root)))
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     schema = "part int, doc_id long, start long, n_tokens long, own binary, digests array<binary>, lengths array<int>, states binary, root binary"
-    dealt = tagged.repartition(parts, "part").sortWithinPartitions("part", "k", "row", "last")
+    dealt = tagged.repartitionById(parts, "part").sortWithinPartitions("part", "k", "row", "last")  # the n-th file holds the n-th range
     dealt.select("part", "last", "start", "states", *body).mapInArrow(place, schema).write.parquet(f"{path}/packs")
     unstage(rows)
-    _manifests(spark, path).write.parquet(f"{path}/manifests")
+    manifests = staged(_manifests(spark, path), "manifests")
+    manifests.coalesce(1).write.parquet(f"{path}/manifests")  # one row for each range
+    unstage(manifests)
+    spark.createDataFrame([_top(spark.read.parquet(f"{path}/manifests"))], _TOP).coalesce(1).write.parquet(f"{path}/top")
+
+
+_TOP = "documents long, tokens long, root binary"
+
+
+def _top(manifests: DataFrame) -> tuple[int, int, bytes]:
+    """Documents, ids and root of the store; raises where a range doesn't begin at the end of the one before. One row for each range comes here."""
+    documents = tokens = 0
+    leaves = []
+    for r in sorted(manifests.collect(), key=lambda r: r["part"]):
+        if r["first"] != tokens:
+            raise ValueError("the ranges don't follow each other")
+        documents, tokens = documents + r["documents"], tokens + r["tokens"]
+        leaves.append(address(repr((r["part"], r["documents"], r["tokens"], r["first"])).encode() + b"\3" + bytes(r["root"])))
+    return documents, tokens, merkle(leaves)
 
 
 def _manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -204,16 +236,20 @@ def _result(kind: str):
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, rebuilt and verified."""
     bounded_batches(spark)
-    bad = _manifests(spark, path).exceptAll(spark.read.parquet(f"{path}/manifests"))
-    if not bad.isEmpty():
+    stored, found = spark.read.parquet(f"{path}/manifests"), staged(_manifests(spark, path), "manifests")
+    if not found.exceptAll(stored).unionAll(stored.exceptAll(found)).isEmpty():
         raise ValueError("a manifest doesn't fit its documents")
+    unstage(found)
+    top = spark.read.parquet(f"{path}/top").collect()
+    if [(r["documents"], r["tokens"], bytes(r["root"])) for r in top] != [_top(stored)]:
+        raise ValueError("the manifests don't fit the store's root")
     of, names = _result("ids" if with_ids else "digest"), ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))[: len(names)]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     packs = spark.read.parquet(f"{path}/packs")
     partly = F.locate(chr(FOREIGN), F.decode("states", "ISO-8859-1")) > 0
 
-    def rebuilt(start: int, n: int, own: bytes, digests: list, lengths: list, states: bytes, root: bytes, found: dict) -> bytes:
+    def rebuilt(doc: int | None, start: int, n: int, own: bytes, digests: list, lengths: list, states: bytes, root: bytes, found: dict) -> bytes:
         mine, at, out = unpacked(own).tobytes(), 0, []
         for k, (d, length, state) in enumerate(zip(digests, lengths, states, strict=True)):
             if state == FOREIGN:
@@ -225,7 +261,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 raise ValueError("a chunk doesn't have its digest")
             out.append(chunk)
         ids = b"".join(out)
-        if merkle(digests) != root or len(ids) != 4 * n:
+        if leaf(doc, start, n, merkle(digests)) != root or len(ids) != 4 * n:
             raise ValueError("a document doesn't fit its root")
         return ids
 
@@ -235,7 +271,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch([(doc, start, *of(rebuilt(start, *rest, {}))) for doc, start, *rest in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)])
+            yield batch([(doc, start, *of(rebuilt(doc, start, *rest, {}))) for doc, start, *rest in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,7 +296,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 if at >= 0:
                     found[at] = unpacked(chunk).tobytes()
                 else:
-                    out.append((doc, start, *of(rebuilt(start, *rest, found))))
+                    out.append((doc, start, *of(rebuilt(doc, start, *rest, found))))
             yield batch(out)
 
     fields = ["doc_id", "start", "n_tokens", "own", "digests", "lengths", "states", "root"]

@@ -1,12 +1,11 @@
-"""Tokenizer encoders that remember words.
-
-`path` names a file of the tokenizers library. Its vocabulary is read into rank form, in which
-an id is also the merge's rank, and a text is encoded word by word: the ids of a word are worked
-out once and then looked up. Words end only where the file's own pre-tokenizer is sure to start
-a new pre-token, so ids equal those which the library gives for the whole text; a text or word
-for which that isn't sure goes to the library itself. One text of each batch is encoded by the
-library as well and must agree. The memory of words is bounded and changes no result.
-Special-token strings that occur inside a text are ordinary text.
+"""Tokenizer encoders that work a batch out word by word.
+
+`path` names a file of the tokenizers library. A batch's texts are cut into words where the file's
+pre-tokenizer is sure to end a pre-token; Arrow tells the batch's different words, each is looked up
+or, if it is not remembered, encoded by the library's BPE model, and the ids of all texts are put
+together by array operations. Texts and words for which the cut isn't sure, and those that hold an
+added token's content, are encoded by the library whole. The shortest text of each batch is encoded
+by the library as well and must agree. The memory of words is bounded and changes no result.
 """
 
 from __future__ import annotations
@@ -16,121 +15,228 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import tiktoken
 from tokenizers import Tokenizer
 
-#: Remembered words of one Python worker, about 200 bytes each.
-CACHE_WORDS = 400_000
-#: A text of up to this length in each batch is held against the library.
-PROBE_CHARS = 4000
+#: Remembered words of one Python worker: up to twice as many, of up to WORD_BYTES bytes, about 200 bytes each.
+CACHE_WORDS, WORD_BYTES = 200_000, 64
+#: Bytes of text that are worked out at once; a longer text is by itself.
+PIECE_BYTES = 4 << 20
 
 # The patterns of the two pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Stands for the end of a word in rank form.
-_END = b"\x01"
-_UNSURE = re.compile(r"\s\s|[^\S \n]")
+_SPACE, _LINE = 32, 10
+#: Kinds of bytes: 1 space or line feed, 2 other white space, 3 may begin other white space.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[_SPACE, _LINE]] = 1
+_KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = 3
+_WIDE_SPACE = regex.compile(r"[^\S\x00-\x7F]")
+#: UTF-8 of letters below U+0100, after one space or none.
+_LATIN = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b".,;:!?")] = True
 
 
-def _alphabet() -> dict[str, int]:
-    """Byte of each character of the byte-level alphabet: printable bytes are themselves, the others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+def _alphabet() -> dict[int, str]:
+    """Character of each byte in the byte-level alphabet: printable bytes are themselves, the others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
 
 
 class _Words(dict):
-    """Ids of words as packed little-endian uint32."""
+    """Ids of words (UTF-8 bytes) as packed little-endian uint32."""
 
     def __init__(self, path: str, pattern: str) -> None:
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model, self.parts, self.shown = self.tokenizer.model, regex.compile(pattern), _alphabet()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {x["content"] for x in spec["added_tokens"]}
-        suffix, byte = spec["model"]["end_of_word_suffix"], _alphabet()
-        ranks = {}
-        for token, i in spec["model"]["vocab"].items():
-            if token not in special:
-                ended = bool(suffix) and token.endswith(suffix)
-                ranks[bytes(byte[c] for c in (token[: -len(suffix)] if ended else token)) + _END * ended] = i
-        self.ranks = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
 
     def whole(self, text: str) -> bytes:
         """By the library."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = self.learn(word)
+    def bpe(self, part: bytes) -> list[int]:
+        """Ids of one pre-token, by the library's model."""
+        return [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.shown))]
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = self.learn(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) >= CACHE_WORDS:  # words that are still in use come back from the older half
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
-    def learn(self, word) -> bytes:
+    def learn(self, word: bytes) -> bytes:
         raise NotImplementedError
 
-    def one(self, text) -> bytes:
+    def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words in data, whose texts begin and end at bounds."""
         raise NotImplementedError
 
-    def encode(self, texts: list) -> list[bytes]:
-        out = [self.one(t) if t else b"" for t in texts]
-        for t, ids in zip(texts, out, strict=True):
-            if t and len(t) <= PROBE_CHARS:
-                if ids != self.whole(t if isinstance(t, str) else t.decode()):
-                    raise ValueError("the vocabulary's ids are not its merge ranks")
-                break
+    def _with_added(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts hold an added token's content."""
+        out, raw = np.zeros(len(bounds) - 1, bool), data.tobytes()
+        for content in map(str.encode, self.added):
+            at = raw.find(content)
+            while at >= 0:
+                out[np.searchsorted(bounds, at, "right") - 1] = True
+                at = raw.find(content, at + 1)
         return out
 
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end_id after it, and where each text's ids begin and end; a null is an empty text."""
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        cut, ids, many = [0], [], []
+        while cut[-1] < len(texts):
+            cut.append(max(cut[-1] + 1, int(np.searchsorted(bounds, bounds[cut[-1]] + PIECE_BYTES, "right")) - 1))
+        for a, z in zip(cut, cut[1:], strict=False):
+            of, lengths = self._piece(data[bounds[a] : bounds[z]], bounds[a : z + 1] - bounds[a])
+            ends = np.cumsum(lengths)
+            ids.append(np.insert(of, ends, np.uint32(end_id)))
+            many.append(lengths + 1)
+        self._probe(texts, np.concatenate(ids), at := np.append(0, np.cumsum(np.concatenate(many))))
+        return np.concatenate(ids), at
+
+    def _piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        first, last = self.starts(data, bounds)
+        if not len(first):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        if np.array_equal(first[1:], last[:-1]):
+            buffers = np.append(first, last[-1]).astype(np.int64), data
+        else:  # close the gaps between the words
+            lengths = last - first
+            at = np.cumsum(lengths) - lengths
+            buffers = np.append(at, lengths.sum()).astype(np.int64), data[np.repeat(first - at, lengths) + np.arange(lengths.sum())]
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, *map(pa.py_buffer, buffers)]).dictionary_encode()
+        known = list(map(self.__getitem__, words.dictionary.to_pylist()))
+        flat = np.frombuffer(b"".join(known), "<u4")
+        kind = np.int32 if len(data) < 1 << 30 else np.int64
+        size = np.fromiter(map(len, known), kind, len(known)) >> 2
+        place = np.cumsum(size, dtype=kind) - size
+        nth = words.indices.to_numpy(zero_copy_only=False)
+        size, place = size[nth], place[nth]
+        ends = np.cumsum(size, dtype=kind)
+        take = np.repeat(place - ends + size, size)
+        take += np.arange(len(take), dtype=kind)
+        ids = flat[take]
+        of = np.searchsorted(bounds, first, "right") - 1  # the text of each word; empty texts have none
+        return ids, np.bincount(of, size, len(bounds) - 1).astype(np.int64)
+
+    def _probe(self, texts: pa.Array, ids: np.ndarray, at: np.ndarray) -> None:
+        length = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        if length.any():
+            k = int(np.argmin(np.where(length > 0, length, np.iinfo(np.int64).max)))
+            if ids[at[k] : at[k + 1] - 1].astype("<u4").tobytes() != self.whole(texts[k].as_py()):
+                raise ValueError("the words' ids are not the whole text's")
+
+    def one(self, text: str) -> bytes:
+        ids, at = self.encode(pa.array([text]), 0)
+        return ids[: at[1] - 1].astype("<u4").tobytes()
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """For each byte but the last, whether a Latin letter below U+0100 ends there."""
+    out = _LETTER[data[:-1]]
+    if len(data) > 2:
+        tail = data[1:-1]
+        out[1:] |= (data[:-2] == 0xC3) & (tail != 0x97) & (tail != 0xB7)
+    return out
+
 
 class SpaceDroppingWords(_Words):
-    """Word-end BPE that drops white space and lower-cases; texts are UTF-8 bytes, words runs without ASCII white space."""
+    """Word-end BPE that drops white space and lower-cases; a word is a run without ASCII white space."""
 
     def __init__(self, path: str) -> None:
-        super().__init__(path, r"(?s:.+)")
-        self.parts = regex.compile(WORD_END_PATTERN)
+        super().__init__(path, WORD_END_PATTERN)
 
     def learn(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return array("I", self.bpe(word.lower())).tobytes()
         text = word.decode()
-        if "\x01" in text or max(text) > "ɏ":  # beyond Latin letters, normalisation is the library's
+        if max(text) > "ɏ" or any(x in text for x in self.added):  # beyond Latin letters, normalisation is the library's
             return self.whole(text)
         ids = array("I")
         for part in self.parts.findall(text.lower()):
-            ids.extend(self.ranks.encode_ordinary(part + "\x01"))
+            ids.extend(self.bpe(part.encode()))
         return ids.tobytes()
 
-    def one(self, text: bytes) -> bytes:
-        return b"".join([self[w] for w in text.split()])
+    def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~((data == _SPACE) | ((data >= 9) & (data <= 13)))
+        edge = inside[1:] != inside[:-1]
+        both = np.zeros(len(data) + 1, bool)  # a text's end between two words that touch
+        both[bounds] = True
+        both &= inside[1:] & inside[:-1]
+        first, last = np.flatnonzero((edge & inside[1:]) | both), np.flatnonzero((edge & inside[:-1]) | both)
+        for k in np.flatnonzero(self._with_added(data, bounds)).tolist():  # one word each
+            a, z = bounds[k], bounds[k + 1]
+            first, last = (np.sort(np.append(x[(x < a if x is first else x <= a) | (x >= z if x is first else x > z)], y)) for x, y in ((first, a), (last, z)))
+        return first, last
 
 
 class ByteLevelWords(_Words):
-    """Byte-level BPE with the usual pattern; texts are strings, a word carries the one space before it.
+    """Byte-level BPE with the usual pattern; a word carries the one space before it.
 
     Without two white-space characters in a row a space starts a new pre-token and a line feed is
-    one by itself; other texts are encoded whole.
+    one by itself; other texts are one word.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__(path, BYTE_LEVEL_PATTERN)
 
-    def learn(self, word: str) -> bytes:
-        return array("I", self.ranks.encode_ordinary(word)).tobytes()
+    def learn(self, word: bytes) -> bytes:
+        if _LATIN(word):
+            return array("I", self.bpe(word)).tobytes()
+        text = word.decode()
+        if len(word) > WORD_BYTES or any(x in text for x in self.added):
+            return self.whole(text)
+        ids = array("I")
+        for part in self.parts.findall(text):
+            ids.extend(self.bpe(part.encode()))
+        return ids.tobytes()
 
-    def one(self, text: str) -> bytes:
-        if _UNSURE.search(text):
-            return self.learn(text)
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self["\n"])
-            if line:
-                first, *rest = line.split(" ")
-                if first:
-                    out.append(self[first])
-                out += [self[" " + w] for w in rest]
-        return b"".join(out)
+    def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind, begins = _KIND[data], np.zeros(len(data) + 1, bool)
+        begins[bounds] = True
+        odd = kind == 2
+        odd[1:] |= (kind[1:] == 1) & (kind[:-1] == 1) & ~begins[1:-1]
+        unsure = self._with_added(data, bounds)
+        unsure[np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1] = True
+        for k in np.unique(np.searchsorted(bounds, np.flatnonzero(kind == 3), "right") - 1).tolist():
+            if not unsure[k] and _WIDE_SPACE.search(data[bounds[k] : bounds[k + 1]].tobytes().decode()):
+                unsure[k] = True
+        stop = np.zeros(len(data) + 2, bool)  # one full stop or the like between a letter and white space or the text's end
+        stop[1:-1] = _STOP[data]
+        stop[2:-1] &= _letters(data)
+        stop[1] = False
+        stop[1:-1] &= np.append(kind[1:] == 1, True) | begins[1:]
+        begins[:-1] |= (kind == 1) | (stop[1:-1] & ~begins[:-1])
+        begins[1:] |= data == _LINE
+        if unsure.any():
+            begins[:-1] &= ~np.repeat(unsure, np.diff(bounds))
+            begins[bounds] = True
+        first = np.flatnonzero(begins[:-1])
+        return first, np.append(first[1:], len(data)) if len(first) else first
 
 
 @lru_cache(maxsize=4)
