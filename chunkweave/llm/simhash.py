@@ -9,13 +9,17 @@ its own queries instead of being broadcast to all of them: a broadcast of all tr
 with the corpus. A shard above SHARD_MAX is split again by blocks of the bits that are left,
 which is exact for the same reason and ends at 2**13 fingerprints at the latest.
 
-similar_documents() is the form for a similarity threshold on sets of word shingles; its SimHash takes
-each shingle once, as the similarity does. Texts 0.8 alike differ in up to RADIUS of 64 bits, which is too many for bit blocks, so there a shard is the set of texts
-that share one of BANDS min-wise bands of shingles (0.8 alike: all missed with probability 6e-4).
-The shard's BK-tree is searched within RADIUS; where the min-wise signatures of what it finds agree
-to the similarity less MARGIN (four standard errors), the shingle sets decide exactly. A shard
-above SHARD_MAX is cut into slices and every two slices meet in a task of their own, so no link is
-lost and no task grows. Only links that join classes leave a task.
+similar_documents() is the form for a similarity threshold on sets of word shingles; its SimHash
+takes each shingle once, as the similarity does. Texts 0.8 alike differ in up to RADIUS of 64 bits,
+which is too many for bit blocks, so there a shard is the set of texts that share one of BANDS
+min-wise bands of shingles (0.8 alike: all missed with probability 6e-4). The shard's BK-tree is
+searched within RADIUS; where the min-wise signatures of what it finds agree to the similarity less
+MARGIN (four standard errors), the shingle sets decide exactly. Only links that join classes leave
+a task. A shard above SHARD_MAX is settled in slices first, then by one text of each class that is
+left in it, again in slices, until its classes no longer become fewer; then the texts outside its
+largest class meet all of its texts. So a hot group of copies costs a few passes over its texts, no
+link that the bands show is lost, and no task grows. Of the recall test's 4,900 texts (tests/llm),
+at least 0.99 of the pairs that are 0.8 or more alike end in one class.
 
 Defined cases. Null, empty and wordless texts have fingerprint 0 and are linked like any other.
 Repeated rows keep their own result row. Null doc_id: never the smallest id of a group unless
@@ -282,7 +286,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    own = "_key"
+    while own in docs.columns:
+        own += "_"
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,7 +304,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["key", "doc_id", "same", "fp", "sig", "bands"])
 
     text = F.encode("text", "UTF-8").alias("b")
-    signed = keyed.select(F.col("_key").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text)
+    signed = keyed.select(F.col(own).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text)
     rows = staged(signed.mapInArrow(sign, "key long, doc_id long, same binary, fp long, sig binary, bands array<long>"), "signed")
     firsts = staged(rows.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("low")).select("low", F.col("low.key").alias("node")), "classes")
     reps = rows.join(firsts.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"])
@@ -311,12 +318,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t or b"", words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
-    needed = keyed.select(F.col("_key").alias("node"), text).join(held.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
-    # Every slice with itself and with every other one; `side` tells the two apart.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda t: F.struct(F.least("s", t).alias("a"), F.greatest("s", t).alias("b"), F.when(F.col("s") == t, 0).otherwise((F.col("s") > t).cast("int")).alias("side")))
-    met = held.select("node", "k", F.explode(pairs).alias("p")).select("node", "k", "p.a", "p.b", "p.side")
-    names = ["k", "a", "b", "node", "fp", "sig", "set", "side"]
-    sent = met.join(reps.select("node", "fp", "sig").join(needed, "node"), "node").repartition(parts, "k", "a", "b").sortWithinPartitions("k", "a", "b").select(*names)
+    needed = keyed.select(F.col(own).alias("node"), text).join(held.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+    known = staged(reps.select("node", "fp", "sig").join(needed, "node"), "sets")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(have: list[tuple]) -> list[tuple[int, int]]:
@@ -338,7 +341,41 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         flat = np.array(found(have), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["u", "v"])
 
-    roots = components(sent.mapInArrow(link, "u long, v long"))
+    def linked(met: DataFrame) -> DataFrame:
+        """Links of met(node, k, a, b, side) within each (k, a, b); with two sides only across them."""
+        sent = met.join(known, "node").repartition(parts, "k", "a", "b").sortWithinPartitions("k", "a", "b")
+        return staged(sent.select("k", "a", "b", "node", "fp", "sig", "set", "side").mapInArrow(link, "u long, v long"), "links")
+
+    zero = F.lit(0)
+    edges = linked(held.select("node", "k", F.col("s").alias("a"), zero.alias("b"), zero.alias("side")))
+    roots = staged(components(edges), "roots")
+    hot = staged(held.where("slices > 1").select("node", "k"), "hot")
+    left, busy = None, not hot.isEmpty()
+    while busy:
+        classed = staged(hot.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root")), "classes")
+        few = classed.groupBy("k", "root").agg(F.min("node").alias("node"), F.count("*").alias("size"))
+        many = few.groupBy("k").agg(F.count("*").alias("m"), F.sum("size").alias("n"), F.max(F.struct("size", "root")).alias("main")).where("m > 1")
+        few = staged(few.join(many, "k"), "few")
+        now = few.count()
+        if not now:
+            break
+        settled = left is not None and now > left * 0.9
+        if not settled:
+            slot = F.pmod(F.xxhash64("node", F.lit(now)), F.ceil(F.col("m") / SHARD_MAX)).cast("int")
+            met = few.select("node", "k", slot.alias("a"), zero.alias("b"), zero.alias("side"))
+        else:
+            # The texts outside a band's largest class, in slices, with each slice of all its texts.
+            each = classed.join(many, "k").withColumn("slices", F.ceil(F.col("n") / SHARD_MAX).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+            others = each.where(F.col("root") != F.col("main.root"))
+            count = others.groupBy("k").agg(F.ceil(F.count("*") / SHARD_MAX).cast("int").alias("parts"))
+            others = others.join(count, "k").select("node", "k", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("a"), F.explode(F.sequence(zero, F.col("slices") - 1)).alias("b"), F.lit(1).alias("side"))
+            met = others.union(each.join(count, "k").select("node", "k", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("a"), F.col("s").alias("b"), zero.alias("side")))
+        edges = edges.union(linked(met))
+        roots = staged(components(edges), "roots")
+        left = now
+        if settled:
+            break
+
     classed = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
-    kept = staged(classed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("_key")), "kept")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = staged(classed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(own)), "kept")
+    return keyed.join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
