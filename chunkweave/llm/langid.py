@@ -125,12 +125,12 @@ def train(rows: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """docs(text, ...) columns `keep` plus lang_pred and score."""
+    """docs(text, ...) columns `keep` plus lang_pred and score, which take the place of columns of these names."""
     bounded_batches(docs.sparkSession)
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names]).reshape(-1, DIMENSIONS)
-    kept = docs.columns if keep is None else keep
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    schema = "".join(f"_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles()
@@ -147,10 +147,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
                     langs.append(names[best])
                     scores.append(float(min(1.0, max(0.0, cos[best]))))
             cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f"_{i}" for i in range(len(kept))), "lang_pred", "score"])
 
-    rows = docs.select(*kept, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(kept)), F.col("text").alias("_text"))
+    found = rows.mapInArrow(run, f"{schema}lang_pred string, score double")
+    return found.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(kept)), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
