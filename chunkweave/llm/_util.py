@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: long texts must not pile up in one Python worker.
@@ -57,6 +57,17 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most key, by binary search over a constant array."""
+    if not bounds:
+        return F.lit(0)
+    steps = len(bounds).bit_length()
+    full = [*bounds, *[None] * ((1 << steps) - 1 - len(bounds))]
+    table = F.transform(F.split(F.lit(",".join("" if b is None else str(b) for b in full)), ","), lambda x: x.try_cast("bigint"))
+    widths = F.array(*(F.lit(1 << i) for i in reversed(range(steps))))
+    return F.aggregate(widths, F.lit(0), lambda at, w: F.when(F.element_at(table, at + w) <= key, at + w).otherwise(at))
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished rounds, which it does when the driver collects its garbage."""
     gc.collect()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.llm._util import bounded_batches
+from chunkweave.llm._util import bounded_batches, range_of
 
 SMALLEST, NORMAL, LARGEST = 32, 128, 512
 #: Leading zero bits that the stricter and the looser mask ask for.
@@ -100,7 +100,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     Rows are dealt to ranges of doc_id by boundaries that are at most as many as the shuffle's
     partitions, and each range also gets the first row of the next one that isn't empty: one
-    shuffle of the texts, and no global order is built in a task.
+    shuffle of the texts, and no global order is built in a task. Rows of one doc_id, and those
+    without one, are one range each, as their order among themselves is by text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -109,8 +110,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(lowest))
     bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))  # at most one less than the partitions
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+    bucket = range_of(key, sorted(set(bounds)))  # at most one bound less than the partitions
     keyed = rows.select(bucket.alias("bucket"), key.alias("k"), "doc_id", "text")
     firsts = {r["bucket"]: r["k"] for r in keyed.groupBy("bucket").agg(F.min("k").alias("k")).collect()}  # one row for each range
     follows = [(b, firsts[min((x for x in firsts if x > b), default=min(firsts))]) for b in firsts]

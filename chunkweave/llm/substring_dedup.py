@@ -1,12 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by factors that are copied from earlier documents.
 
-Method. Every document is parsed greedily into factors that are copied from documents with
-smaller ids and words that are not. The reference is the whole corpus, cut into index blocks by
-anchors: the anchor of a 13-word window is its 6-word run with the smallest hash, so equal
+Method. Every document is cut into factors that are copied from documents with smaller ids and
+words that are not. Windows are matched exactly, in place of a greedy parse against each block;
+the README says why. The reference is the whole corpus, cut into index blocks by anchors: the anchor of a 13-word window is its 6-word run with the smallest hash, so equal
 windows have equal anchors at equal offsets, and neighbouring windows mostly share one anchor.
 A block gets, for each anchor occurrence, the anchor's hash once and 32 bits for each window
-around it (96 bits tell windows apart), and answers with the matches: the window run and where
-the smallest document has it. A document's matches are joined greedily into maximal factors along
+around it, and answers with the matches: the window run and where the smallest document has it.
+96 bits tell windows of different slices apart, and 64 bits those of one slice. A document's matches are joined greedily into maximal factors along
 one reference; windows across a factor's boundary have matches of their own, from whatever
 reference has them. A factor is at least one window long, and its words are the duplicate span.
 
@@ -37,6 +37,8 @@ WINDOW, ANCHOR = 13, 6
 #: Windows of one input slice; bounds a worker's memory to about 150 MB.
 SLICE = 1_500_000
 WORDS_MAX = 400_000
+#: Input of one index block; an estimate that is out of all proportion ends at so many blocks.
+BLOCK_BYTES, BLOCKS_MOST = 16 << 20, 1 << 20
 _SPAN = np.dtype([("at", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("ref_at", "<i4")])
 _MULT = np.random.default_rng(3).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -206,11 +208,18 @@ def parse(spans: np.ndarray) -> list[tuple[int, int, int, int]]:
     return [tuple(x) for x in out]
 
 
+def blocks_of(docs: DataFrame) -> int:
+    """Index blocks by the planner's estimate of the input's size, so that a block's entries fit a worker however large the input is."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(parts, min(-(-size // BLOCK_BYTES), BLOCKS_MOST))
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, spans): window runs that a document with a smaller id also has; mark: a hash of the row's text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks_of(docs)
     schema = "block int, entries binary, doc_id long, mark long, spans binary"
     names = ["block", "entries", "doc_id", "mark", "spans"]
 
