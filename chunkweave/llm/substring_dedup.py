@@ -211,7 +211,7 @@ def parse(spans: np.ndarray) -> list[tuple[int, int, int, int]]:
 def blocks_of(docs: DataFrame) -> int:
     """Index blocks by the planner's estimate of the input's size, so that a block's entries fit a worker however large the input is."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(parts, min(-(-size // BLOCK_BYTES), BLOCKS_MOST))
 
 
