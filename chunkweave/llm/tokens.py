@@ -163,6 +163,16 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stops(data: np.ndarray, space: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places of one full stop or the like between a letter and white space or the text's end."""
+    out = _STOP[data]
+    if len(data):
+        out[0] = False
+        out[1:] &= _letters(data) & ~begins[1:-1]
+        out &= np.append(space[1:], True) | begins[1:]
+    return out
+
+
 class SpaceDroppingWords(_Words):
     """Word-end BPE that drops white space and lower-cases; a word is a run without ASCII white space."""
 
@@ -170,9 +180,9 @@ class SpaceDroppingWords(_Words):
         super().__init__(path, WORD_END_PATTERN)
 
     def learn(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters
-            return array("I", self.bpe(word.lower())).tobytes()
         text = word.decode()
+        if _LATIN(word):
+            return array("I", self.bpe(text.lower().encode())).tobytes()
         if max(text) > "ɏ" or any(x in text for x in self.added):  # beyond Latin letters, normalisation is the library's
             return self.whole(text)
         ids = array("I")
@@ -181,11 +191,13 @@ class SpaceDroppingWords(_Words):
         return ids.tobytes()
 
     def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        space = (data == _SPACE) | ((data >= 9) & (data <= 13))
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~((data == _SPACE) | ((data >= 9) & (data <= 13)))
+        inside[1:-1] = ~space
         edge = inside[1:] != inside[:-1]
-        both = np.zeros(len(data) + 1, bool)  # a text's end between two words that touch
+        both = np.zeros(len(data) + 1, bool)  # where two words touch: a text's end, a full stop behind a letter
         both[bounds] = True
+        both[:-1] |= _stops(data, space, both)
         both &= inside[1:] & inside[:-1]
         first, last = np.flatnonzero((edge & inside[1:]) | both), np.flatnonzero((edge & inside[:-1]) | both)
         for k in np.flatnonzero(self._with_added(data, bounds)).tolist():  # one word each
@@ -225,12 +237,7 @@ class ByteLevelWords(_Words):
         for k in np.unique(np.searchsorted(bounds, np.flatnonzero(kind == 3), "right") - 1).tolist():
             if not unsure[k] and _WIDE_SPACE.search(data[bounds[k] : bounds[k + 1]].tobytes().decode()):
                 unsure[k] = True
-        stop = np.zeros(len(data) + 2, bool)  # one full stop or the like between a letter and white space or the text's end
-        stop[1:-1] = _STOP[data]
-        stop[2:-1] &= _letters(data)
-        stop[1] = False
-        stop[1:-1] &= np.append(kind[1:] == 1, True) | begins[1:]
-        begins[:-1] |= (kind == 1) | (stop[1:-1] & ~begins[:-1])
+        begins[:-1] |= (kind == 1) | _stops(data, kind == 1, begins)
         begins[1:] |= data == _LINE
         if unsure.any():
             begins[:-1] &= ~np.repeat(unsure, np.diff(bounds))
