@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.functions.cost import dedup_ratio, safe_ratio
+from chunkweave.functions.hashing import seeded_rank_key
 from chunkweave.functions.naming import top_folder
 from chunkweave.operators.catalog import first_seen
 from chunkweave.staging import numbered
@@ -38,8 +39,9 @@ def place_round_robin(unique: DataFrame, nodes: int) -> DataFrame:
 
 
 def place_random(unique: DataFrame, nodes: int, seed: int) -> DataFrame:
-    """A node by a seeded hash of the fingerprint: the same in every run."""
-    return unique.withColumn("node", F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(nodes)).cast("int") + 1)
+    """A node by a seeded hash of the fingerprint: the same in every run and any SQL engine."""
+    h = F.conv(F.substring(seeded_rank_key(seed, F.col("fp")), 1, 13), 16, 10).cast("long")
+    return unique.withColumn("node", F.pmod(h, F.lit(nodes)).cast("int") + 1)
 
 
 def place_modulo(ids: DataFrame, nodes: int) -> DataFrame:
@@ -57,9 +59,14 @@ def sent_bytes(length: Column, fp: Column, mode: str) -> Column:
 
 
 def file_stats(marked_chunks: DataFrame, placed: DataFrame, replicate: bool, mode: str = "real") -> DataFrame:
-    """Figures of each file; placed(fp, node) has the unique chunks. A chunk in no edge is cloud-only if it is replicated."""
+    """Figures of each file; placed(fp, node) has the unique chunks. A chunk in no edge is cloud-only if it is replicated.
+
+    With a column `given` a file's own bytes count that size where it is positive, and else the unique
+    chunk's length; what is stored and sent has the unique chunk's length always.
+    """
     rows = marked_chunks.join(placed.select("fp", "node"), "fp", "left")
     new, length = F.col("is_unique"), F.col("length")
+    logical = F.when(F.col("given") > 0, F.col("given")).otherwise(length) if "given" in marked_chunks.columns else length
     wire = sent_bytes(length, F.col("fp"), mode)
     cloud_only = new & (F.col("node") == 0) & F.lit(replicate)
     on_edge = new & (F.col("node") > 0)
@@ -67,7 +74,7 @@ def file_stats(marked_chunks: DataFrame, placed: DataFrame, replicate: bool, mod
     total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
     out = rows.groupBy("path").agg(
         F.count("*").alias("chunks"),
-        F.sum("length").alias("original_bytes"),
+        F.sum(logical).alias("original_bytes"),
         total(new, length).alias("unique_bytes"),
         F.count(F.when(cloud_only, 1)).alias("cloud_only_unique_chunks"),
         total(cloud_only, length).alias("cloud_only_unique_bytes"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions.cost import safe_ratio
-from chunkweave.staging import numbered
+from chunkweave.staging import numbered, preceded
 
 
 def coverage(chunks: DataFrame, placement: DataFrame) -> DataFrame:
@@ -36,12 +36,23 @@ def top_partial(cover: DataFrame, k: int) -> DataFrame:
 
 
 def replay_summary(runs: DataFrame) -> DataFrame:
-    """One row over runs(arrival_s, duration_s, bytes): totals, mean, median and p95 (linear), mean time between arrivals."""
-    order = Window.orderBy("arrival_s").partitionBy("run") if "run" in runs.columns else Window.partitionBy(F.lit(1)).orderBy("arrival_s")
-    gaps = runs.withColumn("gap", F.greatest(F.col("arrival_s") - F.coalesce(F.lag("arrival_s").over(order), F.lit(0.0)), F.lit(0.0)))
-    p = F.percentile("duration_s", F.array(F.lit(0.5), F.lit(0.95)))
-    t = gaps.agg(F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.avg("duration_s").alias("mean_s"), p.alias("p"), F.avg("gap").alias("mean_gap_s"))
-    return t.select("requests", "bytes", "mean_s", F.col("p")[0].alias("p50_s"), F.col("p")[1].alias("p95_s"), "mean_gap_s")
+    """One row over runs(arrival_s, duration_s, bytes): totals, mean, median and p95 (linear), mean time between arrivals.
+
+    Arrivals are compared with the ones before, and durations ranked, by ranges: no task has all runs.
+    """
+    gaps = preceded(runs.select("arrival_s", "duration_s", "bytes"), ["arrival_s", "duration_s"], F.col("arrival_s"), "_last", 0.0)
+    gap = F.greatest(F.col("arrival_s") - F.col("_last"), F.lit(0.0))
+    t = gaps.agg(F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.avg("duration_s").alias("mean_s"), F.avg(gap).alias("mean_gap_s"))
+    ranked = numbered(runs.where("duration_s IS NOT NULL").select("duration_s"), ["duration_s"], "_n", 0)
+    n = ranked.count()
+    value = lambda k: F.max(F.when(F.col("_n") == k, F.col("duration_s")))
+
+    def at(p: float) -> Column:
+        low, share = divmod(p * max(n - 1, 0), 1.0)
+        return value(low) + (F.coalesce(value(low + 1), value(low)) - value(low)) * share
+
+    two = ranked.agg(at(0.5).alias("p50_s"), at(0.95).alias("p95_s"))
+    return t.join(two, F.lit(True)).select("requests", "bytes", "mean_s", "p50_s", "p95_s", "mean_gap_s")  # one row each
 
 
 def hot_set(requests: DataFrame, top: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.staging import numbered
+from chunkweave.staging import cumulated, numbered, preceded
 
 
 def uniform(seed: int, *key: Column) -> Column:
@@ -19,21 +19,15 @@ def poisson_arrivals(requests: DataFrame, rate: float, seed: int) -> DataFrame:
 
     Sums are made within ranges of requests and shifted by the ranges before, so no task has all.
     """
-    gaps = requests.withColumn("_gap", -F.log(1.0 - uniform(seed, F.col("req_id"))) / rate)
-    placed = numbered(gaps, ["req_id"], "_n", 0).withColumn("_range", F.floor(F.col("_n") / 100_000.0))
-    sums = placed.groupBy("_range").agg(F.sum("_gap").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    offsets = sums.select("_range", before.alias("_before"))  # one row for each 100,000 requests
-    within = F.sum("_gap").over(Window.partitionBy("_range").orderBy("_n"))
-    return placed.withColumn("_w", within).join(offsets, "_range").withColumn("arrival_s", F.round(F.col("_w") + F.col("_before"), 6)).drop("_gap", "_n", "_range", "_w", "_before")
+    gap = -F.log(1.0 - uniform(seed, F.col("req_id"))) / rate
+    return cumulated(requests, ["req_id"], gap, "arrival_s").withColumn("arrival_s", F.round("arrival_s", 6))
 
 
 def paced(arrivals: DataFrame, scale: float = 1.0, most: int | None = None) -> DataFrame:
     """arrivals(req_id, arrival_s) with wait_s until each from the one before; the first `most` only, if given."""
     rows = arrivals if most is None else arrivals.orderBy("arrival_s", "req_id").limit(most)
-    order = Window.partitionBy(F.lit(0)).orderBy("arrival_s", "req_id")
-    gap = F.col("arrival_s") - F.coalesce(F.lag("arrival_s").over(order), F.lit(0.0))
-    return rows.withColumn("wait_s", F.greatest(gap, F.lit(0.0)) / scale)
+    rows = preceded(rows, ["arrival_s", "req_id"], F.col("arrival_s"), "_last", 0.0)
+    return rows.withColumn("wait_s", F.greatest(F.col("arrival_s") - F.col("_last"), F.lit(0.0)) / scale).drop("_last")
 
 
 def weights(files: DataFrame) -> DataFrame:
@@ -50,9 +44,7 @@ def sample_with_replacement(files: DataFrame, n: int, seed: int) -> DataFrame:
     """
     spark = files.sparkSession
     cells = max(1, min(n, 4096))
-    ranked = numbered(weights(files), ["path"], "_n")
-    order = Window.partitionBy(F.lit(0)).orderBy("_n")
-    cum = ranked.withColumn("_hi", F.sum("weight").over(order)).withColumn("_lo", F.col("_hi") - F.col("weight"))
+    cum = cumulated(weights(files), ["path"], F.col("weight"), "_hi").withColumn("_lo", F.col("_hi") - F.col("weight"))
     total = cum.agg(F.max("_hi")).first()[0] or 1.0
     width = total / cells
     spans = cum.where("weight > 0").select("path", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_cell"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -102,12 +103,32 @@ def _(c: Corpus) -> DataFrame:
     return c.chunks.select("path", "seq", "offset", "length", "fp")
 
 
-@query("s040_content_defined_chunks")
+# A step of the recursion for each chunk. A boundary is where the low bits of the gear sum over the bytes from the
+# chunk's smallest size on are zero; g has the gear words' low 16 bits of all bytes of a file.
+_GEAR_SUM = "list_filter(range({lo}, {hi}), lambda i: list_sum(list_transform(range(0, least({bits}, i - s + 1)), lambda k: g[i - k - a + 1] << k)) % {mask} = 0)[1]"
+
+
+def defined_oracle(low: int, average: int, high: int, normalised: bool) -> str:
+    base = round(math.log2(average))
+    words = ", ".join(str(int(w) & 0xFFFF) for w in chunking.GEAR)
+    hit = lambda lo, hi, bits: _GEAR_SUM.format(lo=lo, hi=hi, bits=bits, mask=1 << bits)
+    if not normalised:
+        found = hit("s", "e", base)
+    else:
+        found = f"coalesce({hit('s', f'least(e, a + {average - 1})', base + 1)}, {hit(f'greatest(s, least(e, a + {average - 1}))', 'e', base - 1)})"
+    return sql("d", f""", gear AS MATERIALIZED (SELECT path, n, h, list_transform(range(0, n), lambda i: list_extract([{words}], CAST('0x' || substr(h, 2 * i + 2, 1) AS INTEGER) + 1)) AS gs FROM d WHERE n > 0),
+w(path, seq, a, z) AS (SELECT path, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM gear
+UNION ALL SELECT path, seq + 1, a, CASE WHEN n - a <= {low} THEN n ELSE coalesce({found} + 1, e) END
+FROM (SELECT w.path, w.seq, w.z AS a, w.z + {low} AS s, least(q.n, w.z + {high}) AS e, q.n, q.gs[w.z + 1:least(q.n, w.z + {high})] AS g FROM w JOIN gear q USING (path) WHERE w.z < q.n))
+SELECT path, seq, a AS "offset", z - a AS length, sha1(unhex(substr(h, 2 * a + 1, 2 * (z - a)))) AS fp FROM w JOIN gear USING (path) WHERE seq >= 0""").replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+
+
+@query("s040_content_defined_chunks", defined_oracle(64, 256, 1024, False))
 def _(c: Corpus) -> DataFrame:
     return chunking.chunks(c.contents.select("path", "content"), "cdc", 256)
 
 
-@query("s041_fast_content_defined_chunks")
+@query("s041_fast_content_defined_chunks", defined_oracle(64, 256, 1024, True))
 def _(c: Corpus) -> DataFrame:
     return chunking.chunks(c.contents.select("path", "content"), "fastcdc", 256)
 
@@ -271,7 +292,7 @@ def _(c: Corpus) -> DataFrame:
     return dedup.place_round_robin(catalog.first_seen(c.chunks), NODES).select("fp", "node")
 
 
-@query("s074_seeded_random_placement")
+@query("s074_seeded_random_placement", sql("d chunks firsts", f"SELECT fp, CAST(CAST('0x' || substr(sha1('7|' || fp), 1, 13) AS BIGINT) % {NODES} + 1 AS INTEGER) AS node FROM firsts"))
 def _(c: Corpus) -> DataFrame:
     return dedup.place_random(catalog.first_seen(c.chunks), NODES, 7).select("fp", "node")
 
@@ -286,6 +307,15 @@ def _(c: Corpus) -> DataFrame:
     return dedup.file_stats(c.marked, c.placed, False, "synthetic_edge").select("path", F.col("network_sent_bytes").alias("sent"))
 
 
+@query("s079_synthetic_lengths", sql("d chunks firsts placed marked", """SELECT m.path, count(*) AS chunks, CAST(sum(CASE WHEN m.seq % 3 > 0 THEN m.length + m.seq % 2 ELSE m.length END) AS BIGINT) AS original_bytes, CAST(sum(CASE WHEN is_unique THEN m.length ELSE 0 END) AS BIGINT) AS unique_bytes,
+CAST(sum(CASE WHEN is_unique THEN CASE WHEN node > 0 THEN 96 ELSE 48 END ELSE 0 END) AS BIGINT) AS network_sent_bytes FROM marked m JOIN (SELECT fp, node FROM placed) p USING (fp) GROUP BY m.path"""))
+def _(c: Corpus) -> DataFrame:
+    """A file's own chunk sizes count for its bytes, the unique chunk's size for what is stored; edges make the data."""
+    given = F.when(F.col("seq") % 3 > 0, F.col("length") + F.col("seq") % 2).otherwise(0)
+    out = dedup.file_stats(c.marked.withColumn("given", given), c.placed, True, "synthetic_edge")
+    return out.select("path", "chunks", "original_bytes", "unique_bytes", "network_sent_bytes")
+
+
 @query("s079_synthetic_dedup", sql("d files chunks firsts ids", f"SELECT path, count(*) AS chunks, CAST(sum(length) AS BIGINT) AS bytes, count(*) FILTER (node = 1) AS on_first FROM (SELECT c.path, c.length, (i.chunk_id - 1) % {NODES} + 1 AS node FROM chunks c JOIN (SELECT chunk_id, fp FROM ids) i USING (fp)) GROUP BY path"))
 def _(c: Corpus) -> DataFrame:
     ids = dedup.place_modulo(c.ids, NODES)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.operators import catalog, reports, restore, workload
-from chunkweave.plans.corpus import BATCH, NODES, WINDOW, Corpus, r6, registry, sql
+from chunkweave.plans.corpus import BATCH, FNV, NODES, WINDOW, Corpus, r6, registry, sql
 
 QUERIES, ORACLE_SQL, query = registry()
 _POLICY = "d chunks firsts placed policy"
@@ -203,18 +203,27 @@ def _(c: Corpus) -> DataFrame:
     return c.chunks.groupBy("path").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("fp"))), ",").alias("fps"))
 
 
-@query("s127_new_chunks_of_files", sql("d files chunks", "SELECT path, count(DISTINCT fp) AS fresh FROM chunks WHERE fp NOT IN (SELECT fp FROM chunks JOIN files USING (path) WHERE file_id <= 20) GROUP BY path"))
+_HOT = "SELECT file_id FROM heat ORDER BY heat DESC, file_id LIMIT (SELECT greatest(1, CAST(ceil(count(*) * 0.1) AS BIGINT)) FROM heat)"
+
+
+def hot_chunks(c: Corpus) -> DataFrame:
+    """Chunks of the hottest tenth of the files."""
+    return c.numbered_chunks.join(catalog.protected(c.heat, 0.1).select("path"), "path", "left_semi")
+
+
+@query("s127_new_chunks_of_files", sql("d files heat chunks", "SELECT path, count(DISTINCT fp) AS fresh FROM chunks WHERE fp NOT IN (SELECT fp FROM chunks JOIN files USING (path) WHERE file_id IN (" + _HOT + ")) GROUP BY path"))
 def _(c: Corpus) -> DataFrame:
-    stored = c.numbered_chunks.where("file_id <= 20").select("fp").distinct()
+    stored = hot_chunks(c).select("fp").distinct()
     return c.chunks.join(stored, "fp", "left_anti").groupBy("path").agg(F.countDistinct("fp").alias("fresh"))
 
 
-@query("s128_bytes_of_a_selection", sql("d files chunks", "SELECT CAST(sum(length) AS BIGINT) AS bytes FROM (SELECT DISTINCT fp, length FROM chunks JOIN files USING (path) WHERE file_id <= 20)"))
+@query("s128_bytes_of_a_selection", sql("d files heat chunks", "SELECT CAST(sum(length) AS BIGINT) AS bytes FROM (SELECT DISTINCT fp, length FROM chunks JOIN files USING (path) WHERE file_id IN (" + _HOT + "))"))
 def _(c: Corpus) -> DataFrame:
-    return c.numbered_chunks.where("file_id <= 20").select("fp", "length").distinct().agg(F.sum("length").alias("bytes"))
+    return hot_chunks(c).select("fp", "length").distinct().agg(F.sum("length").alias("bytes"))
 
 
-@query("s132_hybrid_experiment")
+@query("s132_hybrid_experiment", sql("d chunks firsts placed", f""", e AS (SELECT fp, node BETWEEN 1 AND {NODES} AND {FNV} <= CAST({int(0.8 * float(2**64 - 1))} AS UBIGINT) AS e FROM placed)
+SELECT c.path, count(*) FILTER (e) AS edge_chunks, CAST(coalesce(sum(c.length) FILTER (e), 0) AS BIGINT) AS edge_bytes, count(*) FILTER (NOT e) AS cloud_chunks, CAST(coalesce(sum(c.length) FILTER (NOT e), 0) AS BIGINT) AS cloud_bytes FROM chunks c JOIN e USING (fp) GROUP BY c.path"""))
 def _(c: Corpus) -> DataFrame:
     return restore.experiment(c.chunks, c.index, NODES, "hybrid", 0.8)
 
@@ -277,11 +286,15 @@ def _(c: Corpus) -> DataFrame:
     return files.select("path", F.round("lambda", 6).alias("lambda"), F.size("chunks").cast("long").alias("chunks"))
 
 
-@query("s124_stable_sets", sql("d chunks", "SELECT path, count(DISTINCT fp) AS unique_chunks, count(*) AS chunks FROM chunks GROUP BY path"))
+@query("s124_stable_sets", sql("d chunks", """, f AS (SELECT path, fp, min(seq) AS s, min(seq) FILTER (seq % 2 = 0) AS e, count(*) FILTER (seq % 2 = 1) AS o FROM chunks GROUP BY ALL)
+SELECT path, sha1(string_agg(fp, ',' ORDER BY s)) AS both, coalesce(string_agg(fp, ',' ORDER BY e) FILTER (e IS NOT NULL AND o > 0), '') AS common FROM f GROUP BY path"""))
 def _(c: Corpus) -> DataFrame:
-    order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "fp"))), lambda x: x["fp"])
+    """Union and intersection of a file's even and odd chunks, in the order in which they first come."""
+    order = F.array_sort(F.collect_list(F.struct("seq", "fp")))
     rows = c.chunks.groupBy("path").agg(order.alias("l"))
-    return rows.select("path", F.size(F.array_union("l", F.array_distinct("l"))).cast("long").alias("unique_chunks"), F.size("l").cast("long").alias("chunks"))
+    side = lambda odd: F.transform(F.filter("l", lambda x: x["seq"] % 2 == odd), lambda x: x["fp"])
+    every = F.transform("l", lambda x: x["fp"])
+    return rows.select("path", F.sha1(F.array_join(F.array_union(every, every), ",")).alias("both"), F.array_join(F.array_intersect(side(0), side(1)), ",").alias("common"))
 
 
 @query("s005_catalog_files", sql("d files heat chunks counts", "SELECT file_id, path, raw_size, n_chunks FROM counts"))
