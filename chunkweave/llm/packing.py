@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from chunkweave.llm._util import bounded_batches, staged
 
-#: Parts in which the documents of one length are ranked.
-SALTS = 256
+#: Parts in which the documents of one length are ranked, or the shuffle's partitions if those are more; moves that are broadcast.
+SALTS, MOVES_MOST = 256, 100_000
 
 
 def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -82,16 +82,18 @@ def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     items is read several times: hand in a staged or cheap table.
     """
     spark = items.sparkSession
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     parts = staged(parts.withColumn("_before", F.coalesce(before, F.lit(0))), "lengths")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
-    moves = spark.createDataFrame(sweeps(counts, capacity), "length long, _from long, _to long, _first long, _at long, _each long")
+    found = sweeps(counts, capacity)
+    moves = spark.createDataFrame(found, "length long, _from long, _to long, _first long, _at long, _each long")
+    moves = F.broadcast(moves) if len(found) <= MOVES_MOST else moves
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))
     ranked = salted.withColumn("_r", within).join(parts.drop("_n"), ["length", "_salt"]).withColumn("_rank", F.col("_r") - 1 + F.col("_before"))
-    # moves: bounded by capacity, not by the rows
-    placed = ranked.alias("i").join(F.broadcast(moves).alias("m"), (F.col("i.length") == F.col("m.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    placed = ranked.alias("i").join(moves.alias("m"), (F.col("i.length") == F.col("m.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
     return placed.select(
         *(F.col(f"i.{c}") for c in items.columns),

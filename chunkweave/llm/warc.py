@@ -33,7 +33,7 @@ from chunkweave.llm._util import bounded_batches
 
 #: Bytes of a record's block before it is segmented, and of a transfer chunk.
 SEGMENT, CHUNK = 16_384, 4096
-#: Records of one archive file.
+#: Records of one archive file. Blocks are at most SEGMENT bytes long, so a file holds at most 33 MB besides headers.
 FILE_RECORDS = 2000
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID(int=0)
