@@ -409,6 +409,30 @@ def test_warc(spark, tmp_path):
         list(warc.parsed(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"))
 
 
+def test_damaged_archives(spark, tmp_path):
+    """Segments that are missing, out of number, of a wrong total or changed, and files cut short, raise; a damaged file never gives fewer pages."""
+    import gzip
+
+    page = "".join(chr(97 + i % 26) for i in range(60_000))
+    records = warc.records(1, "u", page.encode(), None)
+    assert len(records) == 4 and "WARC-Segment-Total-Length" in records[-1]
+
+    def read(name, parts, cut=0):
+        (tmp_path / name).mkdir()
+        data = gzip.compress("".join(r + "\r\n\r\n" for r in parts).encode())
+        (tmp_path / name / "part-0.txt.gz").write_bytes(data[: len(data) - cut])
+        return warc.read(spark, str(tmp_path / name)).collect()
+
+    assert [r["payload_bytes"] for r in read("whole", records)] == [60_000]
+    assert [r["payload_bytes"] for r in read("shuffled", records[::-1])] == [60_000]  # segments are ordered by number
+    numbered = [r.replace("Segment-Number: 3", "Segment-Number: 2") for r in records]
+    total = [r.replace("Total-Length: ", "Total-Length: 1") for r in records]
+    changed = [records[0], records[1].replace("abc", "abd"), *records[2:]]
+    for name, parts, cut in (("first", records[1:], 0), ("middle", records[:1] + records[2:], 0), ("last", records[:-1], 0), ("number", numbered, 0), ("total", total, 0), ("changed", changed, 0), ("cut", records, 40)):
+        with pytest.raises(Exception):
+            read(name, parts, cut)
+
+
 # 7
 
 
