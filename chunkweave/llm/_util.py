@@ -6,7 +6,9 @@ import gc
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,24 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+#: Remembered word hashes of one Python worker, about 150 bytes each.
+WORDS_MAX = 400_000
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_MAX:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+@lru_cache(maxsize=1)
+def word_hashes() -> dict[bytes, int]:
+    """Hashes of words, one memory for all operators that a Python worker runs."""
+    return _WordHashes()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -48,7 +48,7 @@ class Profiles:
 
     def __init__(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.zeros((TRIGRAMS_MAX, DIMENSIONS), np.float32)
+        self.matrix = np.zeros((TRIGRAMS_MAX, DIMENSIONS), np.int8)  # products of +1 and -1
         self.letters: dict[int, bool] = {}
 
     def _codes(self, text: str) -> np.ndarray:
@@ -83,7 +83,7 @@ class Profiles:
             for g in new:
                 rows[g] = i = len(rows)
                 self.matrix[i] = np.roll(letter(g >> 42), 2) * np.roll(letter(g >> 21 & 0x1FFFFF), 1) * letter(g & 0x1FFFFF)
-            out += counts[at : at + TRIGRAMS_MAX].astype(np.float32) @ self.matrix[[rows[g] for g in part]]
+            out += counts[at : at + TRIGRAMS_MAX].astype(np.float32) @ self.matrix[[rows[g] for g in part]].astype(np.float32)
         return out / max(float(np.linalg.norm(out)), 1e-30)
 
 

@@ -29,7 +29,6 @@ all its ids are null. An empty table gives an empty result. Other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.llm._util import bounded_batches, components, staged
+from chunkweave.llm._util import bounded_batches, components, staged, word_hashes
 
 #: Fingerprints of one BK-tree; larger shards are split by further blocks.
 SHARD_MAX = 2048
@@ -45,7 +44,6 @@ SEED = 42
 _BLOCK = 1 << 16
 #: Of similar_documents().
 RADIUS, BANDS, ROWS, SIGNATURE, MARGIN = 20, 14, 4, 128, 0.14
-WORDS_MAX = 400_000
 _RANDOM = np.random.default_rng(2)
 _MULT = _RANDOM.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _PERM = _RANDOM.integers(0, 2**63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,22 +199,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return d.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_MAX:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
 def _shingles(w: list[bytes], words: int) -> np.ndarray:
     """Hashes of the word shingles in order; of fewer words the one of the whole sequence."""
-    h = np.fromiter(map(_hashes().__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(word_hashes().__getitem__, w), np.uint64, len(w))
     n = max(1, len(h) - words + 1) if len(h) else 0
     grams = np.zeros(n, np.uint64)
     for j in range(min(words, len(h))):

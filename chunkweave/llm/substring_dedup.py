@@ -23,39 +23,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.llm._util import bounded_batches
+from chunkweave.llm._util import bounded_batches, word_hashes
 
 WINDOW, ANCHOR = 13, 6
-#: Windows of one input slice; bounds a worker's memory to about 150 MB.
-SLICE = 1_500_000
-WORDS_MAX = 400_000
-#: Input of one index block; an estimate that is out of all proportion ends at so many blocks.
-BLOCK_BYTES, BLOCKS_MOST = 16 << 20, 1 << 20
+#: Windows of one input slice; bounds a worker's memory to about 100 MB.
+SLICE = 1_000_000
+#: Input of one index block, most blocks, and the estimate from which on the planner doesn't know the size.
+BLOCK_BYTES, BLOCKS_MOST, UNKNOWN_BYTES = 16 << 20, 1 << 17, 1 << 50
 _SPAN = np.dtype([("at", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("ref_at", "<i4")])
 _MULT = np.random.default_rng(3).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_MAX:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -212,7 +196,7 @@ def blocks_of(docs: DataFrame) -> int:
     """Index blocks by the planner's estimate of the input's size, so that a block's entries fit a worker however large the input is."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(parts, min(-(-size // BLOCK_BYTES), BLOCKS_MOST))
+    return max(parts, min(-(-size // BLOCK_BYTES), BLOCKS_MOST)) if size < UNKNOWN_BYTES else parts
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -227,7 +211,7 @@ def matches(docs: DataFrame) -> DataFrame:
         ids: list[int] = []
         marks: list[int] = []
         hashes: list[np.ndarray] = []
-        total, turn, known = 0, 0, _hashes()
+        total, turn, known = 0, 0, word_hashes()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal total, turn
