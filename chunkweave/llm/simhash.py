@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.llm._util import bounded_batches, components, staged, word_hashes
+from chunkweave.llm._util import bounded_batches, components, staged, unstage, word_hashes
 
 #: Fingerprints of one BK-tree; larger shards are split by further blocks.
 SHARD_MAX = 2048
@@ -270,6 +270,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    written: list[DataFrame] = []
+
+    def kept_for_now(df: DataFrame, tag: str) -> DataFrame:
+        written.append(staged(df, tag))
+        return written[-1]
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = "_key"
     while own in docs.columns:
@@ -290,21 +296,21 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     text = F.encode("text", "UTF-8").alias("b")
     signed = keyed.select(F.col(own).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text)
-    rows = staged(signed.mapInArrow(sign, "key long, doc_id long, same binary, fp long, sig binary, bands array<long>"), "signed")
-    firsts = staged(rows.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("low")).select("low", F.col("low.key").alias("node")), "classes")
+    rows = kept_for_now(signed.mapInArrow(sign, "key long, doc_id long, same binary, fp long, sig binary, bands array<long>"), "signed")
+    firsts = kept_for_now(rows.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("low")).select("low", F.col("low.key").alias("node")), "classes")
     reps = rows.join(firsts.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    reps = staged(reps.select(F.col("key").alias("node"), "fp", "sig", "bands"), "representatives")
+    reps = kept_for_now(reps.select(F.col("key").alias("node"), "fp", "sig", "bands"), "representatives")
     banded = reps.select("node", F.explode("bands").alias("k"))
     sizes = banded.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     held = banded.join(sizes, "k").withColumn("slices", F.ceil(F.col("n") / SHARD_MAX).cast("int"))
-    held = staged(held.withColumn("s", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")), "shards")
+    held = kept_for_now(held.withColumn("s", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")), "shards")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t or b"", words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
     needed = keyed.select(F.col(own).alias("node"), text).join(held.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
-    known = staged(reps.select("node", "fp", "sig").join(needed, "node"), "sets")
+    known = kept_for_now(reps.select("node", "fp", "sig").join(needed, "node"), "sets")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(have: list[tuple]) -> list[tuple[int, int]]:
@@ -329,18 +335,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     def linked(met: DataFrame) -> DataFrame:
         """Links of met(node, k, a, b, side) within each (k, a, b); with two sides only across them."""
         sent = met.join(known, "node").repartition(parts, "k", "a", "b").sortWithinPartitions("k", "a", "b")
-        return staged(sent.select("k", "a", "b", "node", "fp", "sig", "set", "side").mapInArrow(link, "u long, v long"), "links")
+        return kept_for_now(sent.select("k", "a", "b", "node", "fp", "sig", "set", "side").mapInArrow(link, "u long, v long"), "links")
 
     zero = F.lit(0)
     edges = linked(held.select("node", "k", F.col("s").alias("a"), zero.alias("b"), zero.alias("side")))
-    roots = staged(components(edges), "roots")
-    hot = staged(held.where("slices > 1").select("node", "k"), "hot")
+    roots = kept_for_now(components(edges), "roots")
+    hot = kept_for_now(held.where("slices > 1").select("node", "k"), "hot")
     left, busy = None, not hot.isEmpty()
     while busy:
-        classed = staged(hot.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root")), "classes")
+        classed = kept_for_now(hot.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root")), "classes")
         few = classed.groupBy("k", "root").agg(F.min("node").alias("node"), F.count("*").alias("size"))
         many = few.groupBy("k").agg(F.count("*").alias("m"), F.sum("size").alias("n"), F.max(F.struct("size", "root")).alias("main")).where("m > 1")
-        few = staged(few.join(many, "k"), "few")
+        few = kept_for_now(few.join(many, "k"), "few")
         now = few.count()
         if not now:
             break
@@ -356,11 +362,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             others = others.join(count, "k").select("node", "k", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("a"), F.explode(F.sequence(zero, F.col("slices") - 1)).alias("b"), F.lit(1).alias("side"))
             met = others.union(each.join(count, "k").select("node", "k", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("a"), F.col("s").alias("b"), zero.alias("side")))
         edges = edges.union(linked(met))
-        roots = staged(components(edges), "roots")
+        roots = kept_for_now(components(edges), "roots")
         left = now
         if settled:
             break
 
     classed = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     kept = staged(classed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(own)), "kept")
+    for df in written:
+        unstage(df)
     return keyed.join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
