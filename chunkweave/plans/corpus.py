@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.chunking import fixed_chunks
 from chunkweave.operators import catalog, dedup
+from chunkweave.staging import written
 
 CHUNK, NODES, WINDOW, BATCH = 512, 10, 16, 4
 
@@ -36,9 +37,13 @@ class Corpus:
         return self.contents.select("path", "doc_id", F.octet_length("content").cast("long").alias("raw_size"))
 
     @cached_property
-    def files(self) -> DataFrame:
+    def _files(self) -> Callable[[], DataFrame]:
         """Numbered once for each corpus; the table is written then."""
-        return catalog.with_file_ids(self.sizes)
+        return written(catalog.with_file_ids(self.sizes), "files")
+
+    @property
+    def files(self) -> DataFrame:
+        return self._files()
 
     @property
     def chunks(self) -> DataFrame:
@@ -55,8 +60,12 @@ class Corpus:
         return self.heat.join(n, "path", "left").na.fill(0, ["n_chunks"])
 
     @cached_property
+    def _ids(self) -> Callable[[], DataFrame]:
+        return written(catalog.chunk_ids(self.chunks), "ids")
+
+    @property
     def ids(self) -> DataFrame:
-        return catalog.chunk_ids(self.chunks)
+        return self._ids()
 
     @property
     def heat(self) -> DataFrame:

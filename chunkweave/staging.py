@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,16 @@ def staging(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame, tag: str) -> Callable[[], DataFrame]:
+    """Write df to the staging folder; each call reads it as a table of its own, which may be joined with the others."""
+    path, schema = f"{staging(df.sparkSession)}/{tag}-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return lambda: df.sparkSession.read.schema(schema).parquet(path)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the staging folder and read it back: its lineage ends there."""
-    path = f"{staging(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, tag)()
 
 
 def ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
