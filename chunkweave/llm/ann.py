@@ -40,7 +40,7 @@ from chunkweave.llm._util import bounded_batches, released, staged, unstage
 #: Neighbours of a node, new and old ones drawn in a round, random others to start from (twice), share of changed entries that ends the rounds.
 DEGREE, SAMPLE, START, STILL = 32, 16, 64, 0.03
 #: Nodes of a block and of a shard of the search; beam of a query.
-BLOCK, SHARD, BEAM = 256, 4096, 128
+BLOCK, SHARD, BEAM = 256, 4096, 192
 #: Low bits of a node that number it within its block.
 NUMBER = 24
 SEED = 4
