@@ -83,7 +83,7 @@ def range_of(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     steps = len(bounds).bit_length()
     full = [*bounds, *[None] * ((1 << steps) - 1 - len(bounds))]
-    table = F.transform(F.split(F.lit(",".join("" if b is None else str(b) for b in full)), ","), lambda x: x.try_cast("bigint"))
+    table = F.expr("array(" + ",".join("CAST(NULL AS BIGINT)" if b is None else f"CAST('{b}' AS BIGINT)" for b in full) + ")")  # folded to one literal: nothing is built for each row
     widths = F.array(*(F.lit(1 << i) for i in reversed(range(steps))))
     return F.aggregate(widths, F.lit(0), lambda at, w: F.when(F.element_at(table, at + w) <= key, at + w).otherwise(at))
 

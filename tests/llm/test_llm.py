@@ -4,6 +4,7 @@ import os
 import random
 import re
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from chunkweave.llm._util import staged  # noqa: E402
+from chunkweave.llm._util import range_of, staged  # noqa: E402
 from chunkweave.llm import ann, cdc_fingerprint, langid, packing, secrets, sentencepieces, simhash, substring_dedup, token_store, tokens, warc  # noqa: E402
 
 WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -101,6 +102,18 @@ def plain_cuts(data):
     return out if start == len(data) else [*out, len(data)]
 
 
+def test_ranges_are_looked_up_in_a_literal(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 5, 300):
+        bounds = sorted(rng.getrandbits(64) - 2**63 for _ in range(n))
+        bounds[:1] = [-(2**63)] if n == 5 else bounds[:1]
+        keys = [-(2**63), -1, 0, 2**63 - 1, *bounds, *(b - 1 for b in bounds[1:]), *(rng.getrandbits(64) - 2**63 for _ in range(50))]
+        found = spark.createDataFrame([(k,) for k in keys], "k long").select("k", range_of(F.col("k"), bounds).alias("at"))
+        assert all(r["at"] == bisect_right(bounds, r["k"]) for r in found.collect())
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and "transform(" not in plan  # else the bounds are built anew for each row and step
+
+
 def test_cuts_are_those_of_a_byte_by_byte_scan():
     rng = random.Random(6)
     for n in [0, 1, 31, 32, 33, 64, 128, 129, 512, 513, 3000, 20_000]:
