@@ -6,9 +6,10 @@ SAMPLE of its old neighbours and tells them; a host's members are its drawn neig
 SAMPLE new and old ones that drew it; a host's block asks for its members' vectors by a join;
 each new member is compared with all members there, and what beats a member's worst neighbour goes
 to that member's list. Rounds end when less than STILL of all list entries have changed. A search
-keeps a beam of the best nodes of each query; a hop expands the beam's new nodes where their
-adjacency lies, scores the nodes found where their vectors lie, and merges the scores at the query,
-until no beam has a new node.
+keeps a beam of the best nodes of each query. A hop asks each shard to expand the beam's new nodes
+there and to score nodes that other shards have found; a shard scores its own finds at once and
+goes on from the best of them, up to its share of the beam. The query merges the answers, until no
+beam has a new node and nothing found is unscored.
 
 Scale. A block is a cell of random hyperplanes with about BLOCK nodes, so a node's hosts tend to
 share blocks and their number grows with the data. A vector goes once to each block that asks for
@@ -44,7 +45,7 @@ BLOCK, SHARD, BEAM = 256, 4096, 192
 #: Low bits of a node that number it within its block.
 NUMBER = 24
 SEED = 4
-_LISTS = "node long, ids binary, sims binary, news binary, fresh long, worst float"
+_LISTS = "node long, ids binary, sims binary, news binary, fresh long, worst float, small binary"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -224,11 +225,35 @@ def _few(nodes: np.ndarray, others: np.ndarray, news: np.ndarray, turn: int) ->
     return out
 
 
-def _merged(messages: DataFrame, tag: str) -> DataFrame:
-    """One list of every node that a message is for: (node, ids, sims, news, fresh), fresh being how many ids no `old` message had."""
+def _carried(small: DataFrame) -> DataFrame:
+    """The vectors of small(node, small) as messages to the lists: `old` is null, `ids` the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, vecs = b.column(0).to_numpy(), b.column(1).to_pylist()
+            order = np.argsort(nodes, kind="stable")
+            nodes, rows = nodes[order], []
+            for at, end in zip(*_cut(nodes >> NUMBER), strict=True):
+                rows.append((int(nodes[at] >> NUMBER), None, nodes[at:end].astype("<i8").tobytes(), None, b"".join([vecs[i] for i in order[at:end].tolist()]), None, None))
+            cols = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], [f.split()[0] for f in _PACKED.split(", ")])
+
+    return small.select("node", "small").mapInArrow(run, _PACKED)
+
+
+def _merged(messages: DataFrame, small: DataFrame, tag: str) -> DataFrame:
+    """One list of every node that a message is for: (node, ids, sims, news, fresh, worst, small), fresh being how many ids no `old` message had."""
     parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def fold(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        vec: dict[int, bytes] = {}
+        for r in rows:
+            if r[0] is None:
+                nodes, width = np.frombuffer(r[1], "<i8").tolist(), 8 * len(r[3]) // len(r[1])
+                vec.update((x, r[3][width * i : width * (i + 1)]) for i, x in enumerate(nodes))
+        rows = [r for r in rows if r[0] is not None]
+        if not rows:
+            return
         node = np.concatenate([np.repeat(np.frombuffer(r[1], "<i8"), np.frombuffer(r[2], "<i4")) for r in rows])
         ids, sims, news = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((3, "<i8"), (4, "<f4"), (5, "u1")))
         old = np.repeat([r[0] for r in rows], [len(r[3]) // 8 for r in rows])
@@ -241,14 +266,14 @@ def _merged(messages: DataFrame, tag: str) -> DataFrame:
         out = []
         for at, end in zip(*_cut(node), strict=True):
             end = min(end, at + DEGREE)
-            out.append((int(node[at]), ids[at:end].tobytes(), sims[at:end].tobytes(), news[at:end].tobytes(), int((~old[at:end]).sum()), float(sims[end - 1]) if end - at >= DEGREE else -np.inf))
+            out.append((int(node[at]), ids[at:end].tobytes(), sims[at:end].tobytes(), news[at:end].tobytes(), int((~old[at:end]).sum()), float(sims[end - 1]) if end - at >= DEGREE else -np.inf, vec[int(node[at])]))
         yield from _batches(out, _LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 1):
             yield from fold(rows)
 
-    return staged(messages.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, _LISTS), tag)
+    return staged(messages.unionByName(_carried(small)).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, _LISTS), tag)
 
 
 def first_lists(nodes: DataFrame) -> DataFrame:
@@ -271,7 +296,7 @@ def first_lists(nodes: DataFrame) -> DataFrame:
             yield _messages(own, other, sims, np.ones(len(own), bool), False)
 
     sent = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, _PACKED)
-    return _merged(sent, "graph")
+    return _merged(sent, nodes, "graph")
 
 
 _HOSTS = "block long, hosts binary, sizes binary, members binary, news binary"
@@ -317,7 +342,7 @@ def _hosts(graph: DataFrame, turn: int) -> DataFrame:
     return staged(sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, _HOSTS), "hosts")
 
 
-def _compared(hosts: DataFrame, graph: DataFrame, small: DataFrame) -> DataFrame:
+def _compared(hosts: DataFrame, graph: DataFrame) -> DataFrame:
     """Messages of candidates from comparing each host's new members with all of its members."""
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -328,7 +353,7 @@ def _compared(hosts: DataFrame, graph: DataFrame, small: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), block, np.int64))], ["node", "block"])
 
     wanted = hosts.select("block", "members").mapInArrow(asked, "node long, block long")
-    held = small.join(graph.select("node", "worst"), "node")
+    held = graph.select("node", "small", "worst")
     body = ["hosts", "sizes", "members", "news"]
     vecs = wanted.join(held, "node").select("block", F.lit(0).alias("last"), "node", "small", "worst", *(F.lit(None).cast("binary").alias(c) for c in body))
     plans = hosts.select("block", F.lit(1), F.lit(None).cast("long"), F.lit(None).cast("binary"), F.lit(None).cast("float"), *body)
@@ -383,7 +408,7 @@ def neighbour_graph(nodes: DataFrame, n: int) -> DataFrame:
     graph, turn = first_lists(nodes.select("node", "small")), 0
     while True:
         hosts = _hosts(graph, turn)
-        nxt = _merged(_standing(graph, turn).unionByName(_compared(hosts, graph, small)), "graph")
+        nxt = _merged(_standing(graph, turn).unionByName(_compared(hosts, graph)), small, "graph")
         unstage(hosts)
         unstage(graph)
         released(small.sparkSession)
@@ -418,95 +443,136 @@ def _shard(node: Column | str, shards: int) -> Column:
     return (_block(node) % shards).cast("int")
 
 
-def _by_shard(query: int, ids: np.ndarray, shards: int) -> Iterator[tuple]:
-    to = (ids >> NUMBER) % shards
-    order = np.argsort(to, kind="stable")
-    ids, to = ids[order], to[order]
-    for at, end in zip(*_cut(to), strict=True):
-        yield query, int(to[at]), ids[at:end].astype("<i8").tobytes()
+def _better(ids: np.ndarray, sims: np.ndarray, bar: float, edge: int) -> np.ndarray:
+    """Which entries come before (bar, edge) in a beam."""
+    return (sims > bar) | ((sims == bar) & (ids < edge))
+
+
+class _Held:
+    """A shard's nodes, their vectors and links."""
+
+    def __init__(self, shard: int, rows: list[tuple], kind: str) -> None:
+        rows.sort()
+        self.shard, self.ids = shard, np.array([r[0] for r in rows], np.int64)
+        self.x = np.frombuffer(b"".join([r[1] for r in rows]), kind).reshape(len(rows), -1)
+        self.links = [r[2] or b"" for r in rows]
+
+    def visit(self, vec: np.ndarray, bar: float, edge: int, known: np.ndarray, expand: np.ndarray, asked: np.ndarray, shards: int, beam: int) -> tuple:
+        """(ids, sims, which are expanded, nodes of other shards that were found).
+
+        Expands `expand`, scores `asked` and what is found here, and goes on from the best of them
+        here, up to a shard's share of the beam; what is not expanded here the query asks for later.
+        """
+        at = lambda nodes: np.searchsorted(self.ids, nodes)
+        seen, expanded = np.zeros(len(self.ids), bool), np.zeros(len(self.ids), bool)
+        seen[at(known)] = True
+        todo, front, left = at(asked), at(expand), max(1, beam // shards)
+        todo = todo[~seen[todo]]
+        seen[todo] = True
+        have, sims, away = np.zeros(0, np.int64), np.zeros(0), [np.zeros(0, np.int64)]
+        while True:
+            if len(front):
+                found = np.unique(np.frombuffer(b"".join([self.links[i] for i in front.tolist()]), "<i8"))
+                here = (found >> NUMBER) % shards == self.shard
+                away.append(found[~here])
+                found = at(found[here])
+                todo = np.append(todo, found[~seen[found]])
+                seen[todo] = True
+            if len(todo):
+                near = self.x[todo].astype(np.float64) @ vec
+                keep = _better(self.ids[todo], near, bar, edge)
+                have, sims, todo = np.append(have, todo[keep]), np.append(sims, near[keep]), todo[:0]
+                best = np.lexsort((self.ids[have], -sims))[:beam]
+                have, sims = have[best], sims[best]
+            front = have[~expanded[have]][: min(left, max(1, beam // 8))]
+            if not len(front):
+                return self.ids[have], sims, expanded[have], np.unique(np.concatenate(away))
+            expanded[front] = True
+            left -= len(front)
+
+
+_STATE = "query long, vec binary, ids binary, sims binary, expand binary, asked binary"
 
 
 def _search(nodes: DataFrame, adjacency: DataFrame, queries: DataFrame, kind: str, n: int, k: int) -> DataFrame:
-    """(query, ids, sims): the beam of each query(query, vec), whose own node is where it starts."""
+    """(query, ids, sims): the beam of each query(query, vec), whose own node is where it starts.
+
+    A hop is two exchanges: a query asks shards to expand its beam's new nodes and to score nodes
+    that other shards have found, and merges the answers.
+    """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     beam, shards = max(BEAM, k + 1), max(1, -(-n // SHARD))
-    near = staged(adjacency.select(_shard("node", shards).alias("shard"), "node", "ids"), "adjacency")
-    held = nodes.select(_shard("node", shards).alias("shard"), "node", "vec")
-    none = F.lit(None).cast("binary")
-    state = staged(queries.select("query", "vec", none.alias("ids"), none.alias("sims"), F.array("query").alias("new_nodes")), "beams")
+    held = staged(nodes.join(adjacency.select("node", F.col("ids").alias("links")), "node", "left").select(_shard("node", shards).alias("shard"), "node", "vec", "links"), "adjacency")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(q, vec, b"", b"", np.array([q], "<i8").tobytes(), b"") for q, vec in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True)], _STATE)
+
+    state = staged(queries.select("query", "vec").mapInArrow(first, _STATE), "beams")
+    ask_schema = "shard int, query long, vec binary, bar double, edge long, known binary, expand binary, asked binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for query, vec, *rest in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                ids, sims, expand, asked = (np.frombuffer(x, t) for x, t in zip(rest, ("<i8", "<f8", "<i8", "<i8"), strict=True))
+                bar, edge = (float(sims[-1]), int(ids[-1])) if len(ids) >= beam else (-np.inf, 0)
+                lists = [np.append(ids, query), expand, asked]
+                to = [(x >> NUMBER) % shards for x in lists]
+                for s in np.unique(np.concatenate(to[1:])).tolist():
+                    out.append((query, s, vec, bar, edge, *(x[t == s].astype("<i8").tobytes() for x, t in zip(lists, to, strict=True))))
+            yield _batch([(s, q, *x) for q, s, *x in out], ask_schema)
 
     def dealt(mine: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
         """Rows of both in one partition for each key, `mine` first."""
         return mine.union(theirs).repartition(parts, key).sortWithinPartitions(key, "last")
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, mine = None, {}
-        for b in batches:
-            out: list[tuple] = []
-            for s, last, i, ids, asked in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
-                if s != shard:
-                    shard, mine = s, {}
-                if not last:
-                    mine[i] = ids
-                else:
-                    found = np.frombuffer(b"".join([mine.get(x, b"") for x in asked]), "<i8")
-                    out.append((i, np.unique(found).astype("<i8").tobytes()))
-            yield _batch(out, "query long, ids binary")
+    answer_schema = "query long, ids binary, sims binary, done binary, found binary"
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (query,), rows in _groups(batches, 1):
-            vec, have = next((v, np.frombuffer(i or b"", "<i8")) for last, v, i in rows if not last)
-            found = np.unique(np.concatenate([np.frombuffer(i, "<i8") for last, _, i in rows if last] or [have[:0]]))
-            new = found[~np.isin(found, np.append(have, query))]
-            yield _batch([(q, s, vec, i) for q, s, i in _by_shard(query, new, shards)], "query long, shard int, vec binary, ids binary")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, mine = None, {}
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows, here = None, [], None
         for b in batches:
             out: list[tuple] = []
-            for s, last, i, vec, asked in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+            for s, last, i, vec, links, bar, edge, *lists in zip(*(b.column(j).to_pylist() for j in range(10)), strict=True):
                 if s != shard:
-                    shard, mine = s, {}
+                    shard, rows, here = s, [], None
                 if not last:
-                    mine[i] = vec
-                else:
-                    ids = np.frombuffer(asked, "<i8")
-                    x = np.frombuffer(b"".join([mine[j] for j in ids.tolist()]), kind).reshape(len(ids), -1).astype(np.float64)
-                    sims = x @ np.frombuffer(vec, kind).astype(np.float64)
-                    if len(ids) > beam:
-                        top = np.argpartition(-sims, beam)[:beam]
-                        ids, sims = ids[top], sims[top]
-                    out.append((i, ids.tobytes(), sims.astype("<f8").tobytes()))
-            yield _batch(out, "query long, ids binary, sims binary")
+                    rows.append((i, vec, links))
+                    continue
+                if here is None:
+                    here, rows = _Held(s, rows, kind), []
+                ids, sims, done, found = here.visit(np.frombuffer(vec, kind).astype(np.float64), bar, edge, *(np.frombuffer(x, "<i8") for x in lists), shards, beam)
+                out.append((i, ids.astype("<i8").tobytes(), sims.astype("<f8").tobytes(), done.tobytes(), found.astype("<i8").tobytes()))
+            yield _batch(out, answer_schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {c: [] for c in ("query", "vec", "ids", "sims", "new_nodes")}
+        out: list[tuple] = []
         for (query,), group in _groups(batches, 1):
-            vec, old = next((g[1], np.frombuffer(g[2] or b"", "<i8")) for g in group if not g[0])
-            ids, sims = np.concatenate([np.frombuffer(g[2] or b"", "<i8") for g in group]), np.concatenate([np.frombuffer(g[3] or b"", "<f8") for g in group])
-            order = np.lexsort((ids, -sims))[:beam]
-            ids, sims = ids[order], sims[order]
-            for c, x in zip(rows, (query, vec, ids.tobytes(), sims.astype("<f8").tobytes(), ids[~np.isin(ids, old)].tolist()), strict=True):
-                rows[c].append(x)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), kinds, strict=True)], list(rows))
-
-    while True:  # a node that has left a beam cannot come back, so beams come to a standstill
-        todo = state.select("query", F.explode("new_nodes").alias("node")).groupBy(_shard("node", shards).alias("shard"), "query").agg(F.collect_list("node").alias("asked"))
-        lists = near.select("shard", F.lit(0).alias("last"), F.col("node").alias("id"), "ids", F.lit(None).cast("array<long>").alias("asked"))
-        found = dealt(lists, todo.select("shard", F.lit(1), "query", none, "asked"), "shard").mapInArrow(expand, "query long, ids binary")
-        busy = state.where(F.size("new_nodes") > 0)
-        new = dealt(busy.select("query", F.lit(0).alias("last"), "vec", "ids"), found.select("query", F.lit(1), none, "ids"), "query").mapInArrow(gather, "query long, shard int, vec binary, ids binary")
-        vecs = held.select("shard", F.lit(0).alias("last"), F.col("node").alias("id"), "vec", none.alias("asked"))
-        scored = dealt(vecs, new.select("shard", F.lit(1), "query", "vec", "ids"), "shard").mapInArrow(score, "query long, ids binary, sims binary")
-        sofar = state.select("query", F.lit(0).alias("last"), "vec", "ids", "sims")
-        nxt = staged(dealt(sofar, scored.select("query", F.lit(1), none, "ids", "sims"), "query").mapInArrow(merge, "query long, vec binary, ids binary, sims binary, new_nodes array<long>"), "beams")
+            vec = next(g[1] for g in group if not g[0])
+            ids, sims, done, found = (np.concatenate([np.frombuffer(g[j] or b"", t) for g in group]) for j, t in ((2, "<i8"), (3, "<f8"), (4, "?"), (5, "<i8")))
+            order = np.lexsort((ids, -sims))
+            order = order[ids[order] != query][:beam]  # a node is scored in its shard only, and not while it is in the beam
+            ids, sims, done = ids[order], sims[order], done[order]
+            asked = np.setdiff1d(found, np.append(ids, query))
+            out.append((query, vec, ids.tobytes(), sims.tobytes(), ids[~done].tobytes(), asked.tobytes()))
+        yield from _batches(out, _STATE)
+
+    busy = (F.octet_length("expand") > 0) | (F.octet_length("asked") > 0)
+    # A node is expanded only if it comes before the beam's last; one that has left the beam does not, so beams come to a standstill.
+    while not state.where(busy).isEmpty():
+        asks = state.where(busy).mapInArrow(ask, ask_schema)
+        mine = held.select("shard", F.lit(0).alias("last"), F.col("node").alias("id"), "vec", "links", none("double").alias("bar"), none("long").alias("edge"), *(none("binary").alias(c) for c in ("known", "expand", "asked")))
+        theirs = asks.select("shard", F.lit(1), "query", "vec", none("binary"), "bar", "edge", "known", "expand", "asked")
+        answers = dealt(mine, theirs, "shard").mapInArrow(visit, answer_schema)
+        expanded = F.repeat(F.lit("\x01"), (F.octet_length("ids") / 8).cast("int")).cast("binary")
+        sofar = state.select("query", F.lit(0).alias("last"), "vec", "ids", "sims", expanded.alias("done"), none("binary").alias("found"))
+        nxt = staged(dealt(sofar, answers.select("query", F.lit(1), none("binary"), "ids", "sims", "done", "found"), "query").mapInArrow(merge, _STATE), "beams")
         unstage(state)
         released(spark)
         state = nxt
-        if state.where(F.size("new_nodes") > 0).isEmpty():
-            return state.select("query", "ids", "sims")
+    return state.select("query", "ids", "sims")
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:

@@ -341,6 +341,27 @@ def test_rounds_make_the_graph(spark):
         assert sum(len(got[q] & set(near)) for q, near in want.items()) / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("shard", [4096, 100])
+def test_a_hop_is_two_exchanges(spark, monkeypatch, shard):
+    """Every exchange costs a task for each partition, whatever it holds."""
+    hops, real = [], ann.staged
+
+    def told(df, tag):
+        hops.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, tag)
+
+    monkeypatch.setattr(ann, "staged", told)
+    monkeypatch.setattr(ann, "SHARD", shard)
+    x = np.random.default_rng(4).standard_normal((600, 8))
+    found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    want = exact(x, range(0, 600, 20))
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.95 * 600 and len(found) == 600
+    plans = [p for tag, p in hops if tag == "beams"][1:]
+    assert plans and all(p.count("RepartitionByExpression") == 2 and "Aggregate" not in p and "Join" not in p for p in plans)
+    rounds = [p for tag, p in hops if tag == "graph"][1:]
+    assert rounds and all(p.count("Join") == 1 for p in rounds)
+
+
 def test_short_vectors_keep_any_magnitude():
     x = np.array([[1.0, -0.5], [1e-30, 2e-30], [0.0, 0.0], [3e-45, 0.0]])
     assert np.allclose(ann._matrix(ann._short(x)), x, rtol=1e-3, atol=1e-40)
