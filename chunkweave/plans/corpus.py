@@ -53,6 +53,15 @@ class Corpus:
     def numbered_chunks(self) -> DataFrame:
         return self.chunks.join(self.files.select("path", "file_id"), "path")
 
+    @cached_property
+    def _kept_chunks(self) -> Callable[[], DataFrame]:
+        return written(self.numbered_chunks, "chunks")
+
+    @property
+    def kept_chunks(self) -> DataFrame:
+        """numbered_chunks, cut and written once: for plans that read them again and again."""
+        return self._kept_chunks()
+
     @property
     def counts(self) -> DataFrame:
         """files with n_chunks and heat."""

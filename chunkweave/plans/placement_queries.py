@@ -55,7 +55,7 @@ def benefits(c: Corpus) -> DataFrame:
 
 
 def labels(c: Corpus) -> DataFrame:
-    return graph.communities(c.files.select("file_id"), graph.star_edges(c.numbered_chunks, benefits(c)))
+    return graph.communities(c.files.select("file_id"), graph.star_edges(c.kept_chunks, benefits(c)))
 
 
 _COMM = sql(_USE, """, deg AS (SELECT fp, count(*) AS n, min(file_id) AS first FROM use GROUP BY fp),
@@ -140,14 +140,13 @@ def _(c: Corpus) -> DataFrame:
 @query("s157_community_greedy")
 def _(c: Corpus) -> DataFrame:
     """(kind, id): communities picked, and files that are complete then; one task, as each pick depends on those before."""
-    use = catalog.edges(c.numbered_chunks, c.ids).select("file_id", "seq", "chunk_id", F.col("length").alias("size"))
+    use = catalog.edges(c.kept_chunks, catalog.chunk_ids(c.kept_chunks)).select("file_id", "seq", "chunk_id", F.col("length").alias("size"))
     rows = use.join(labels(c), "file_id").join(benefits(c), "file_id").withColumn("g", F.lit(0))
 
     def fold(x):
         files = placement.by_file(x, "size")
         of = dict(zip(x["file_id"].tolist(), x["community"].tolist(), strict=True))
-        names = sorted(set(of.values()))
-        groups = [[f for f in sorted(files) if of[f] == n] for n in names]
+        names, groups = S.grouped(of)
         total = sum({k: s for ks in files.values() for k, s in ks}.values())
         picked, whole = S.community_greedy(groups, files, dict(zip(x["file_id"].tolist(), x["benefit"].tolist(), strict=True)), total * 0.2, S.Servers(NODES, total * 0.2 / NODES))
         out = [("community", names[i]) for i in picked] + [("file", f) for f in sorted(whole)]

@@ -118,6 +118,32 @@ def plain_communities(groups, files, benefit, capacity, servers):
         out.append(i)
 
 
+def test_files_are_grouped_in_one_pass():
+    of = {f: f % 7 for f in (5, 3, 20, 14, 7, 0, 6)}
+    assert S.grouped(of) == ([0, 3, 5, 6], [[0, 7, 14], [3], [5], [6, 20]]) and S.grouped({}) == ([], [])
+
+    class Counted(dict):
+        reads = 0
+
+        def __getitem__(self, key):
+            Counted.reads += 1
+            return dict.__getitem__(self, key)
+
+    S.grouped(Counted((f, f) for f in range(1000)))
+    assert Counted.reads <= 2000
+
+
+def test_communities_that_do_not_fit_wait_for_a_change(monkeypatch):
+    n, pops = 400, []
+    pop = S.heapq.heappop
+    monkeypatch.setattr(S.heapq, "heappop", lambda q: pops.append(1) or pop(q))
+    files = {f: [(f, 50 * n)] for f in range(n)} | {n + f: [(n + f, 1)] for f in range(n)}
+    benefit = {f: 100 * n if f < n else 1 for f in files}  # the large ones come first, and none fits
+    picked, whole = S.community_greedy([[f] for f in files], files, benefit, 30 * n, S.Servers(1, 30 * n))
+    assert picked == list(range(n, 2 * n)) and whole == set(picked)
+    assert len(pops) <= 3 * len(files)
+
+
 def test_community_greedy_is_the_plain_one():
     for seed in range(60):
         files, sizes = random_files(seed)
