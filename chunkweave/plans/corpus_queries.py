@@ -72,10 +72,8 @@ def _(c: Corpus) -> DataFrame:
 def _(c: Corpus) -> DataFrame:
     path, recipe = f"{staging(c.spark)}/recipes-{uuid.uuid4().hex}", c.chunks.select("path", "seq", "fp")
     writers.recipes(recipe, path)
-    rows = readers.recipe(c.spark, f"{path}/*/*.txt")
-    name = F.url_decode(F.regexp_extract("file", r"recipe_name=([^/]+)/", 1))
-    names = c.sizes.select("path", naming.recipe_name(F.col("path")).alias("name"))
-    return rows.withColumn("name", name).join(names, "name").select("path", "seq", "fp")
+    names = c.sizes.select("path", naming.recipe_name(F.col("path")).alias("file"))
+    return readers.recipes(c.spark, path).join(names, "file").select("path", "seq", "fp")
 
 
 @query("s015_request_lines", "SELECT event_id, CASE WHEN event_id % 4 >= 2 THEN value END AS arrival_s, '/in/' || event_type AS input, CASE WHEN event_id % 2 = 1 THEN '/out/' || user_id ELSE '' END AS output FROM events")

@@ -154,13 +154,22 @@ def popularity(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("file").isNotNull() & F.col("heat").isNotNull()).select(F.trim("file").alias("file"), F.trim("heat").cast("double").alias("heat"))
 
 
-def recipe(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, fp) of recipe texts: one fingerprint a line, blank lines dropped, order kept."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
+def recipe_lines(rows: DataFrame) -> DataFrame:
+    """(file, seq, fp) of rows(file, value) of recipe texts: one fingerprint a line, blank lines dropped, order kept."""
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("file", F.posexplode(lines).alias("seq", "fp")).withColumn("seq", F.col("seq").cast("long"))
 
 
+def recipe(spark: SparkSession, path: str) -> DataFrame:
+    """recipe_lines() of text files, each a recipe."""
+    return recipe_lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value")))
+
+
+def recipes(spark: SparkSession, path: str) -> DataFrame:
+    """recipe_lines() of recipe files kept as rows, by their names."""
+    return recipe_lines(spark.read.schema("recipe_name string, content string").parquet(path).select(F.col("recipe_name").alias("file"), F.col("content").alias("value")))
+
+
 def _node_text(value: Column) -> Column:
     """A JSON value as the text of a node reference: strings trimmed, numbers as integers, others null."""
     raw = F.trim(value)

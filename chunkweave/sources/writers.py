@@ -28,9 +28,17 @@ def fileinfo_row(files: DataFrame, ids: DataFrame, edges: DataFrame, chunk_bytes
 
 
 def recipes(recipe: DataFrame, path: str) -> None:
-    """One folder for each input, named like its recipe, with a fingerprint a line in order."""
-    rows = recipe.withColumn("recipe_name", recipe_name(F.col("path")))
-    rows.repartition("recipe_name").sortWithinPartitions("recipe_name", "seq").select("recipe_name", F.col("fp").alias("value")).write.mode("overwrite").partitionBy("recipe_name").text(path)
+    """Recipe files as rows (recipe_name, content), the content a fingerprint a line in order: files on disk don't grow with the number of inputs."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "fp"))), lambda x: F.concat(x["fp"], F.lit("\n")))
+    rows = recipe.groupBy("path").agg(F.array_join(lines, "").alias("content"))
+    rows.select(recipe_name(F.col("path")).alias("recipe_name"), "content").write.mode("overwrite").parquet(path)
+
+
+def recipe_folders(recipes: DataFrame, path: str) -> None:
+    """The texts of recipes(recipe_name, content) as files of their own, in one folder for each: for readers outside Spark, and for few recipes."""
+    lines = F.split(F.regexp_replace("content", r"\n$", ""), "\n")
+    rows = recipes.select("recipe_name", F.posexplode(lines).alias("seq", "value"))
+    rows.repartition("recipe_name").sortWithinPartitions("recipe_name", "seq").select("recipe_name", "value").write.mode("overwrite").partitionBy("recipe_name").text(path)
 
 
 def index(rows: DataFrame, path: str) -> None:
