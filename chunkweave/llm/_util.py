@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,33 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sliced(data: bytes, bounds: np.ndarray) -> list[bytes]:
+    """The parts of data between bounds."""
+    at = bounds.tolist()
+    return [data[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
+def listed(column: pa.Array) -> list:
+    """column.to_pylist(); of integers, binaries and lists without an Arrow scalar for each value."""
+    kind, n = column.type, len(column)
+    if pa.types.is_integer(kind):
+        out = (column.fill_null(0) if column.null_count else column).to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        _, offsets, data = column.buffers()
+        bounds = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(kind) else np.int32, column.offset + n + 1)[column.offset :] if n else np.zeros(1, np.int64)
+        out = sliced(data[int(bounds[0]) : int(bounds[-1])].to_pybytes() if data is not None else b"", bounds - bounds[0])
+    elif pa.types.is_list(kind):
+        at = column.offsets.to_numpy().tolist() if n else [0]
+        values = listed(column.values.slice(at[0], at[-1] - at[0]))
+        out = [values[a - at[0] : z - at[0]] for a, z in zip(at, at[1:], strict=False)]
+    else:
+        return column.to_pylist()
+    if column.null_count:
+        for k in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[k] = None
+    return out
+
+
 def range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most key, by binary search over a constant array."""
     if not bounds:

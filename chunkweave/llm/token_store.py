@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkweave.llm._util import bounded_batches, staged, unstage
+from chunkweave.llm._util import bounded_batches, listed, staged, unstage
 
 SMALLEST, AVERAGE_BITS, LARGEST = 64, 8, 1024
 DIGEST = 16
@@ -39,17 +40,21 @@ _GEAR = np.random.default_rng(8).integers(0, 2**32, 1 << 16, np.uint32)
 _WINDOW = 16
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Chunk ends: where the rolling hash of the last 16 ids has AVERAGE_BITS leading zeros."""
-    n = len(ids)
+def places(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows of 16 ids whose rolling hash has AVERAGE_BITS leading zeros; the first 15 windows are shorter."""
     h = _GEAR[ids & 0xFFFF]
     for width in (1, 2, 4, 8):
-        if n > width:
+        if len(ids) > width:
             longer = h.copy()
             longer[width:] += h[:-width] << np.uint32(2 * width)
             h = longer
+    return np.flatnonzero(h < np.uint32(1 << (32 - AVERAGE_BITS))) + 1
+
+
+def cuts(n: int, found: list[int]) -> list[int]:
+    """Chunk ends of n ids: the ascending places found, where the chunk is neither too short nor too long."""
     out, start = [], 0
-    for at in (np.flatnonzero(h < np.uint32(1 << (32 - AVERAGE_BITS))) + 1).tolist():
+    for at in found:
         while at - start > LARGEST:
             start += LARGEST
             out.append(start)
@@ -74,14 +79,25 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@lru_cache(maxsize=1)
+def _zip() -> zstandard.ZstdCompressor:
+    """One for each Python worker."""
+    return zstandard.ZstdCompressor(level=3)
+
+
+@lru_cache(maxsize=1)
+def _unzip() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids as they are stored: two bytes each where they fit, then compressed."""
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u4" if wide else "<u2").tobytes())
+    return bytes([wide]) + _zip().compress(ids.astype("<u4" if wide else "<u2").tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u4" if data[0] else "<u2").astype("<u4")
+    return np.frombuffer(_unzip().decompress(data[1:]), "<u4" if data[0] else "<u2").astype("<u4")
 
 
 def leaf(doc: int | None, start: int, n: int, recipe: bytes) -> bytes:
@@ -108,10 +124,12 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             every, ends = words.encode(b.column(1), end_id)
-            data, ends = every.astype("<u4").tobytes(), ends.tolist()
-            for first, last in zip(ends, ends[1:], strict=False):
+            found = places(every)  # windows that begin in the text before end within a text's first SMALLEST ids, where no chunk ends
+            of = np.searchsorted(found, ends, "right").tolist()
+            data, ends, found = every.astype("<u4").tobytes(), ends.tolist(), found.tolist()
+            for k, (first, last) in enumerate(zip(ends, ends[1:], strict=False)):
                 ids, at, digests, lengths = every[first:last], first, [], []
-                for to in cuts(ids):
+                for to in cuts(last - first, [x - first for x in found[of[k] : of[k + 1]]]):
                     digests.append(address(data[4 * at : 4 * (first + to)]))
                     lengths.append(first + to - at)
                     at = first + to
@@ -166,7 +184,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         start, marks = None, {}
         for b in batches:
             out = []
-            for part, last, start_, marks_, doc, n, ids, digests, lengths, root in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+            for part, last, start_, marks_, doc, n, ids, digests, lengths, root in zip(*(listed(b.column(i)) for i in range(10)), strict=True):
                 if not last:
                     start, marks = start_, dict(marks_ or ())
                     continue
@@ -212,7 +230,7 @@ def _manifests(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, list] = {}
         for b in batches:
-            for part, start, n, root in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for part, start, n, root in zip(*(listed(b.column(i)) for i in range(4)), strict=True):
                 x = have.setdefault(part, [0, 0, start, []])
                 if start != x[2] + x[1]:
                     raise ValueError("the documents of a range don't follow each other")
@@ -271,12 +289,12 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch([(doc, start, *of(rebuilt(doc, start, *rest, {}))) for doc, start, *rest in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)])
+            yield batch([(doc, start, *of(rebuilt(doc, start, *rest, {}))) for doc, start, *rest in zip(*(listed(b.column(i)) for i in range(8)), strict=True)])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for own, digests, lengths, states in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for own, digests, lengths, states in zip(*(listed(b.column(i)) for i in range(4)), strict=True):
                 data, at = unpacked(own), 0
                 for d, n, state in zip(digests, lengths, states, strict=True):
                     if state == SHARED:
@@ -290,7 +308,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         key = None
         for b in batches:
             out = []
-            for start, at, chunk, doc, *rest in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+            for start, at, chunk, doc, *rest in zip(*(listed(b.column(i)) for i in range(10)), strict=True):
                 if key != start:
                     key, found = start, {}
                 if at >= 0:

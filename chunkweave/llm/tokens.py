@@ -14,6 +14,8 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,14 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from chunkweave.llm._util import listed, sliced
+
 #: Remembered words of one Python worker: up to twice as many, of up to WORD_BYTES bytes, about 200 bytes each.
 CACHE_WORDS, WORD_BYTES = 200_000, 64
 #: Bytes of text that are worked out at once; a longer text is by itself.
 PIECE_BYTES = 4 << 20
+#: Pre-tokens whose tokens are held at once, before their ids are taken.
+LEARN_WORDS = 512
 
 # The patterns of the two pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,13 +58,15 @@ def _alphabet() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of words (UTF-8 bytes) as packed little-endian uint32."""
+    """Remembered ids of words (UTF-8 bytes) as packed little-endian uint32."""
 
     def __init__(self, path: str, pattern: str) -> None:
         super().__init__()
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.parts, self.shown = self.tokenizer.model, regex.compile(pattern), _alphabet()
+        getattr(self.model, "_resize_cache", lambda n: None)(0)  # words are remembered here; the library's own memory only costs new ones
+        self.wide = np.array([ord(self.shown[b]) for b in range(256)], "<u2")
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
 
@@ -66,22 +74,54 @@ class _Words(dict):
         """By the library."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def bpe(self, part: bytes) -> list[int]:
-        """Ids of one pre-token, by the library's model."""
-        return [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.shown))]
+    def bpe(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token, by the library's model."""
+        out: list[bytes] = []
+        for k in range(0, len(parts), LEARN_WORDS):
+            joined = np.frombuffer(b"\xff".join(parts[k : k + LEARN_WORDS]), np.uint8)  # a byte that UTF-8 doesn't have
+            tokens = list(map(self.model.tokenize, self.wide[joined].tobytes().decode("utf-16-le").split(self.shown[0xFF])))
+            ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), "<u4")
+            out += sliced(ids.tobytes(), np.cumsum([0, *map(len, tokens)]) * 4)
+        return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        out = self.older.get(word)
-        if out is None:
-            out = self.learn(word)
-        if len(word) <= WORD_BYTES:
-            if len(self) >= CACHE_WORDS:  # words that are still in use come back from the older half
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of different words, remembered or learned."""
+        out = list(map(self.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k in new:  # words that are still in use come back from the older half
+            out[k] = self.older.get(words[k])
+        unseen = [k for k in new if out[k] is None]
+        for k, ids in zip(unseen, self.learn([words[k] for k in unseen]), strict=True):
+            out[k] = ids
+        short, at = [(words[k], out[k]) for k in new if len(words[k]) <= WORD_BYTES], 0
+        while at < len(short):
+            if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
                 self.clear()
-            self[word] = out
+            room = CACHE_WORDS - len(self)
+            self.update(short[at : at + room])
+            at += room
+        return out
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words, by their pre-tokens or whole."""
+        out, parts, many = [], [], []
+        for word in words:
+            of = [self.folded(word)] if word[word[:1] == b" " :].isalpha() or _LATIN(word) else self.pre_tokens(word)
+            many.append(-1 if of is None else len(of))
+            parts += of or ()
+        ids, at = self.bpe(parts), 0
+        for word, n in zip(words, many, strict=True):
+            out.append(self.whole(word.decode()) if n < 0 else ids[at] if n == 1 else b"".join(ids[at : at + n]))
+            at += max(n, 0)
         return out
 
-    def learn(self, word: bytes) -> bytes:
+    def folded(self, word: bytes) -> bytes:
+        """A word of Latin letters as the one pre-token that it is."""
+        return word
+
+    def pre_tokens(self, word: bytes) -> list[bytes] | None:
+        """Of another word; None where they aren't sure."""
         raise NotImplementedError
 
     def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +153,9 @@ class _Words(dict):
             ends = np.cumsum(lengths)
             ids.append(np.insert(of, ends, np.uint32(end_id)))
             many.append(lengths + 1)
-        self._probe(texts, np.concatenate(ids), at := np.append(0, np.cumsum(np.concatenate(many))))
-        return np.concatenate(ids), at
+        every, at = np.concatenate(ids) if len(ids) > 1 else ids[0], np.append(0, np.cumsum(np.concatenate(many)))
+        self._probe(texts, every, at)
+        return every, at
 
     def _piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -128,7 +169,7 @@ class _Words(dict):
             at = np.cumsum(lengths) - lengths
             buffers = np.append(at, lengths.sum()).astype(np.int64), data[np.repeat(first - at, lengths) + np.arange(lengths.sum())]
         words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, *map(pa.py_buffer, buffers)]).dictionary_encode()
-        known = list(map(self.__getitem__, words.dictionary.to_pylist()))
+        known = self.known(listed(words.dictionary))
         flat = np.frombuffer(b"".join(known), "<u4")
         kind = np.int32 if len(data) < 1 << 30 else np.int64
         size = np.fromiter(map(len, known), kind, len(known)) >> 2
@@ -139,8 +180,8 @@ class _Words(dict):
         take = np.repeat(place - ends + size, size)
         take += np.arange(len(take), dtype=kind)
         ids = flat[take]
-        of = np.searchsorted(bounds, first, "right") - 1  # the text of each word; empty texts have none
-        return ids, np.bincount(of, size, len(bounds) - 1).astype(np.int64)
+        before = np.append(0, ends)[np.searchsorted(first, bounds)]  # ids before each text's first word
+        return ids, np.diff(before).astype(np.int64)
 
     def _probe(self, texts: pa.Array, ids: np.ndarray, at: np.ndarray) -> None:
         length = pc.binary_length(texts).to_numpy(zero_copy_only=False)
@@ -179,16 +220,14 @@ class SpaceDroppingWords(_Words):
     def __init__(self, path: str) -> None:
         super().__init__(path, WORD_END_PATTERN)
 
-    def learn(self, word: bytes) -> bytes:
+    def folded(self, word: bytes) -> bytes:
+        return word.lower() if word.isascii() else word.decode().lower().encode()
+
+    def pre_tokens(self, word: bytes) -> list[bytes] | None:
         text = word.decode()
-        if _LATIN(word):
-            return array("I", self.bpe(text.lower().encode())).tobytes()
         if max(text) > "ɏ" or any(x in text for x in self.added):  # beyond Latin letters, normalisation is the library's
-            return self.whole(text)
-        ids = array("I")
-        for part in self.parts.findall(text.lower()):
-            ids.extend(self.bpe(part.encode()))
-        return ids.tobytes()
+            return None
+        return [part.encode() for part in self.parts.findall(text.lower())]
 
     def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         space = (data == _SPACE) | ((data >= 9) & (data <= 13))
@@ -216,16 +255,11 @@ class ByteLevelWords(_Words):
     def __init__(self, path: str) -> None:
         super().__init__(path, BYTE_LEVEL_PATTERN)
 
-    def learn(self, word: bytes) -> bytes:
-        if _LATIN(word):
-            return array("I", self.bpe(word)).tobytes()
+    def pre_tokens(self, word: bytes) -> list[bytes] | None:
         text = word.decode()
         if len(word) > WORD_BYTES or any(x in text for x in self.added):
-            return self.whole(text)
-        ids = array("I")
-        for part in self.parts.findall(text):
-            ids.extend(self.bpe(part.encode()))
-        return ids.tobytes()
+            return None
+        return [part.encode() for part in self.parts.findall(text)]
 
     def starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind, begins = _KIND[data], np.zeros(len(data) + 1, bool)

@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 from bisect import bisect_right
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from chunkweave.llm._util import range_of, staged  # noqa: E402
+from chunkweave.llm._util import listed, range_of, staged  # noqa: E402
 from chunkweave.llm import ann, cdc_fingerprint, langid, packing, secrets, sentencepieces, simhash, substring_dedup, token_store, tokens, warc  # noqa: E402
 
 WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -607,6 +608,39 @@ def test_word_memory_changes_nothing(monkeypatch):
         assert [ids[a : z - 1].astype("<u4").tobytes() for a, z in zip(at, at[1:])] == [known.whole(t) for t in texts[3:]]
 
 
+def test_new_words_cost_few_calls():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(500)) for _ in range(8)]
+    for path, byte_level in ((WORD, False), (BYTE, True)):
+        fresh, calls = type(tokens.words_of(path, byte_level))(path), [0]
+        fresh.encode(pa.array(["a"]), 0)  # what is loaded on first use doesn't count
+        sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+        try:
+            ids, at = fresh.encode(pa.array(texts), 0)
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < 2 * 8 * 500  # there were more for each new word
+        assert [ids[a : z - 1].astype("<u4").tobytes() for a, z in zip(at, at[1:])] == [fresh.whole(t) for t in texts]
+
+
+def test_chunks_of_a_batch_are_those_of_its_texts():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50_000, n, np.uint32) for n in (0, 1, 63, 64, 65, 3000, 700, 5000)] + [np.full(4000, 7, np.uint32)]
+    every, ends = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    found = token_store.places(every)
+    for ids, a, z in zip(texts, ends.tolist(), ends[1:].tolist()):
+        cuts = token_store.cuts(z - a, (found[(found > a) & (found <= z)] - a).tolist())
+        assert cuts == token_store.cuts(len(ids), token_store.places(ids).tolist())
+        assert cuts[-1:] == [len(ids)][: len(ids)] and all(token_store.SMALLEST <= y - x <= token_store.LARGEST for x, y in zip([0, *cuts], cuts[:-1]))
+
+
+def test_lists_of_arrow_columns():
+    for column in (pa.array([3, None, -1]), pa.array([b"a", None, b"", b"xyz"]), pa.array([b"a", None], pa.large_binary()), pa.array([[b"a", b""], None, [], [b"c"]]), pa.array([[1, 2], [], None, [3]], pa.list_(pa.int32())), pa.array([{"a": 1}, None]), pa.array([None, None], pa.binary())):
+        for part in (column, column.slice(1), column.slice(1, 1), column.slice(0, 0)):
+            assert listed(part) == part.to_pylist()
+    assert listed(pa.array([], pa.list_(pa.binary()))) == []
+
+
 # 9
 
 
