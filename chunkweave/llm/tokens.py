@@ -3,7 +3,8 @@
 `path` names a file of the tokenizers library. A batch's texts are cut into words where the file's
 pre-tokenizer is sure to end a pre-token; Arrow tells the batch's different words, each is looked up
 or, if it is not remembered, encoded by the library's BPE model, and the ids of all texts are put
-together by array operations. Texts and words for which the cut isn't sure, and those that hold an
+together by array operations. New words go to the model several to a call, with a byte between them
+that UTF-8 doesn't have and no merge of the file has; where the file rules that out, one to a call. Texts and words for which the cut isn't sure, and those that hold an
 added token's content, are encoded by the library whole. The shortest text of each batch is encoded
 by the library as well and must agree. The memory of words is bounded and changes no result.
 """
@@ -11,7 +12,6 @@ by the library as well and must agree. The memory of words is bounded and change
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from functools import lru_cache
 from itertools import chain
@@ -23,14 +23,13 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-from chunkweave.llm._util import listed, sliced
-
-#: Remembered words of one Python worker: up to twice as many, of up to WORD_BYTES bytes, about 200 bytes each.
-CACHE_WORDS, WORD_BYTES = 200_000, 64
+#: Remembered words of one Python worker, of up to WORD_BYTES bytes, about 90 bytes each.
+CACHE_WORDS, WORD_BYTES = 1_000_000, 64
+_FACTORS = np.random.default_rng(5).integers(0, 2**64, WORD_BYTES, np.uint64) | np.uint64(1)
 #: Bytes of text that are worked out at once; a longer text is by itself.
 PIECE_BYTES = 4 << 20
-#: Pre-tokens whose tokens are held at once, before their ids are taken.
-LEARN_WORDS = 512
+#: Pre-tokens that are translated at once, and of these the ones that go to the model in one call.
+LEARN_WORDS, JOINED_WORDS = 4096, 8
 
 # The patterns of the two pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,11 +42,9 @@ _KIND[[_SPACE, _LINE]] = 1
 _KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
 _KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = 3
 _WIDE_SPACE = regex.compile(r"[^\S\x00-\x7F]")
-#: UTF-8 of letters below U+0100, after one space or none.
-_LATIN = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
-_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_STOP[list(b".,;:!?")] = True
+_MARK[list(rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")] = True  # not the apostrophe, which may begin a pre-token with letters
 
 
 def _alphabet() -> dict[int, str]:
@@ -57,68 +54,143 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
 
 
-class _Words(dict):
-    """Remembered ids of words (UTF-8 bytes) as packed little-endian uint32."""
+class _Words:
+    """Remembered words: their bytes, found by hashes and compared, and their ids."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        super().__init__()
-        self.older: dict[bytes, bytes] = {}
+        self.text, self.bounds = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.hashes, self.nth = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and whose each is
+        self.ids, self.first, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used, self.now = np.zeros(0, np.int64), 0  # the call of known() that last had each word
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.parts, self.shown = self.tokenizer.model, regex.compile(pattern), _alphabet()
         getattr(self.model, "_resize_cache", lambda n: None)(0)  # words are remembered here; the library's own memory only costs new ones
         self.wide = np.array([ord(self.shown[b]) for b in range(256)], "<u2")
         with open(path, encoding="utf-8") as f:
-            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+            file = json.load(f)
+        self.added = [x["content"] for x in file["added_tokens"]]
+        self.gap = self._gap(file["model"])
+
+    def _gap(self, model: dict) -> int | None:
+        """Id of byte 0xFF, which UTF-8 doesn't have, if pre-tokens with it between them have the ids that each has by itself."""
+        alone = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        return model["vocab"].get(self.shown[0xFF]) if alone and sum(self.shown[0xFF] in x for x in model["vocab"]) == 1 else None
 
     def whole(self, text: str) -> bytes:
         """By the library."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def bpe(self, parts: list[bytes]) -> list[bytes]:
-        """Packed ids of each pre-token, by the library's model."""
-        out: list[bytes] = []
-        for k in range(0, len(parts), LEARN_WORDS):
-            joined = np.frombuffer(b"\xff".join(parts[k : k + LEARN_WORDS]), np.uint8)  # a byte that UTF-8 doesn't have
-            tokens = list(map(self.model.tokenize, self.wide[joined].tobytes().decode("utf-16-le").split(self.shown[0xFF])))
-            ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), "<u4")
-            out += sliced(ids.tobytes(), np.cumsum([0, *map(len, tokens)]) * 4)
-        return out
-
-    def known(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of different words, remembered or learned."""
-        out = list(map(self.get, words))
-        new = [k for k, ids in enumerate(out) if ids is None]
-        for k in new:  # words that are still in use come back from the older half
-            out[k] = self.older.get(words[k])
-        unseen = [k for k in new if out[k] is None]
-        for k, ids in zip(unseen, self.learn([words[k] for k in unseen]), strict=True):
-            out[k] = ids
-        short, at = [(words[k], out[k]) for k in new if len(words[k]) <= WORD_BYTES], 0
-        while at < len(short):
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            room = CACHE_WORDS - len(self)
-            self.update(short[at : at + room])
-            at += room
+    def bpe(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens in data between bounds, by the library's model, and how many each has."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for k in range(0, len(bounds) - 1, LEARN_WORDS):
+            at = bounds[k : k + LEARN_WORDS + 1] - bounds[k]
+            text = self.wide[np.insert(data[bounds[k] : bounds[k] + at[-1]], at[1:], 0xFF)].tobytes().decode("utf-16-le")
+            if self.gap is None:
+                tokens = list(map(self.model.tokenize, text.split(self.shown[0xFF])[:-1]))
+                sizes.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                ids.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), "<u4"))
+                continue
+            cut = [*(at + np.arange(len(at)))[:-1:JOINED_WORDS].tolist(), len(text)]
+            some = np.fromiter(map(attrgetter("id"), chain.from_iterable(self.model.tokenize(text[a:z]) for a, z in zip(cut, cut[1:], strict=False))), "<u4")
+            gaps = some == self.gap
+            sizes.append(np.diff(np.flatnonzero(gaps), prepend=-1) - 1)
+            ids.append(some[~gaps])
+        out = np.concatenate(ids), np.concatenate(sizes)
+        if len(out[1]) != len(bounds) - 1:
+            raise ValueError("the model joined two pre-tokens")
         return out
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of words, by their pre-tokens or whole."""
-        out, parts, many = [], [], []
-        for word in words:
-            of = [self.folded(word)] if word[word[:1] == b" " :].isalpha() or _LATIN(word) else self.pre_tokens(word)
-            many.append(-1 if of is None else len(of))
-            parts += of or ()
-        ids, at = self.bpe(parts), 0
-        for word, n in zip(words, many, strict=True):
-            out.append(self.whole(word.decode()) if n < 0 else ids[at] if n == 1 else b"".join(ids[at : at + n]))
-            at += max(n, 0)
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words, remembered or learned: an array, where in it each word's ids begin, and how many they are."""
+        self.now += 1
+        is_short = pc.binary_length(words).to_numpy() <= WORD_BYTES
+        short, new = np.flatnonzero(is_short), np.flatnonzero(~is_short)
+        data, bounds = _content(words if not len(new) else words.take(pa.array(short)))
+        hashes = _hashes(data, bounds)
+        at = np.full(len(words), -1)
+        at[short] = found = self.find(data, bounds, hashes)
+        self.used[found[found >= 0]] = self.now
+        unseen = short[found < 0]
+        at[unseen], at[new] = len(self.used) + np.arange(len(unseen)), len(self.used) + len(unseen) + np.arange(len(new))
+        fresh = words.take(pa.array(unseen))
+        learned = self.learn(fresh)
+        ids, first, size = _after((self.ids, self.first, self.size), learned, self.learn(words.take(pa.array(new))))
+        self.remember(fresh, hashes[found < 0], learned)
+        return ids, first[at], size[at]
+
+    def find(self, data: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Places of remembered words, -1 of others."""
+        out, at, order = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64), np.argsort(hashes)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        k = np.flatnonzero(at < len(self.hashes))
+        k = k[self.hashes[at[k]] == hashes[k]]
+        nth, n = self.nth[at[k]], np.diff(bounds)[k]
+        same = np.diff(self.bounds)[nth] == n
+        k, nth, n = k[same], nth[same], n[same]
+        if len(k):
+            differ = self.text[_spans(self.bounds[nth], n)] != data[_spans(bounds[k], n)]
+            same = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+            out[k[same]] = nth[same]
         return out
 
-    def folded(self, word: bytes) -> bytes:
-        """A word of Latin letters as the one pre-token that it is."""
-        return word
+    def remember(self, words: pa.Array, hashes: np.ndarray, learned: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Add words; where there isn't room, the half that was used last stays."""
+        if len(self.used) + len(words) > CACHE_WORDS:
+            stay = np.sort(np.argsort(self.used, kind="stable")[max(len(self.used) - CACHE_WORDS // 2, 0) :])
+            n = np.diff(self.bounds)[stay]
+            self.text, self.bounds = self.text[_spans(self.bounds[stay], n)], np.append(0, np.cumsum(n))
+            self.ids = self.ids[_spans(self.first[stay], self.size[stay])]
+            nth = np.full(len(self.used), -1)
+            nth[stay] = np.arange(len(stay))
+            nth = nth[self.nth]
+            self.hashes, self.nth = self.hashes[nth >= 0], nth[nth >= 0]
+            self.size, self.used = self.size[stay], self.used[stay]
+            self.first = np.cumsum(self.size) - self.size
+        n, (data, bounds) = len(self.used), _content(words.slice(0, CACHE_WORDS - len(self.used)))
+        many = len(bounds) - 1
+        self.text, self.bounds = np.append(self.text, data), np.append(self.bounds, self.bounds[-1] + bounds[1:])
+        order = np.argsort(hashes[:many])
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.nth = np.insert(self.hashes, at, hashes[order]), np.insert(self.nth, at, n + order)
+        self.ids, first, size = _after((self.ids, self.first, self.size), learned)
+        self.first, self.size = first[: n + many], size[: n + many]
+        self.used = np.append(self.used, np.full(many, self.now))
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As known(), of words that aren't remembered, by their pre-tokens or whole."""
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if not len(words):
+            return np.zeros(0, "<u4"), first, size
+        data, bounds = _content(words)
+        length = np.diff(bounds)
+        letters = _latin(data)
+        letters[bounds[:-1]] |= (data[bounds[:-1]] == _SPACE) & (length > 1)
+        one = np.logical_and.reduceat(letters, bounds[:-1])  # Latin letters after one space or none
+        ids, size[one] = self.bpe(self.folded(data[np.repeat(one, length)]), np.append(0, np.cumsum(length[one])))
+        first[one] = np.cumsum(size[one]) - size[one]
+        parts, many, rest, whole = [], [0], [], []
+        raw, at = data.tobytes(), bounds.tolist()
+        for k in np.flatnonzero(~one).tolist():
+            word = raw[at[k] : at[k + 1]]
+            of = self.pre_tokens(word)
+            if of is None:
+                whole.append((k, np.frombuffer(self.whole(word.decode()), "<u4")))
+            else:
+                parts += of
+                many.append(len(parts))
+                rest.append(k)
+        more, sizes = self.bpe(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
+        ends = np.append(0, np.cumsum(sizes))[many]
+        first[rest], size[rest] = len(ids) + ends[:-1], np.diff(ends)
+        most = [ids, more, *(x for _, x in whole)]
+        for (k, x), before in zip(whole, np.cumsum(list(map(len, most)))[1:].tolist(), strict=False):
+            first[k], size[k] = before, len(x)
+        return np.concatenate(most), first, size
+
+    def folded(self, data: np.ndarray) -> np.ndarray:
+        """Latin letters as the pre-tokens have them."""
+        return data
 
     def pre_tokens(self, word: bytes) -> list[bytes] | None:
         """Of another word; None where they aren't sure."""
@@ -143,8 +215,7 @@ class _Words(dict):
         texts = pc.fill_null(column.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        data, bounds = _content(texts)
         cut, ids, many = [0], [], []
         while cut[-1] < len(texts):
             cut.append(max(cut[-1] + 1, int(np.searchsorted(bounds, bounds[cut[-1]] + PIECE_BYTES, "right")) - 1))
@@ -169,11 +240,9 @@ class _Words(dict):
             at = np.cumsum(lengths) - lengths
             buffers = np.append(at, lengths.sum()).astype(np.int64), data[np.repeat(first - at, lengths) + np.arange(lengths.sum())]
         words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, *map(pa.py_buffer, buffers)]).dictionary_encode()
-        known = self.known(listed(words.dictionary))
-        flat = np.frombuffer(b"".join(known), "<u4")
-        kind = np.int32 if len(data) < 1 << 30 else np.int64
-        size = np.fromiter(map(len, known), kind, len(known)) >> 2
-        place = np.cumsum(size, dtype=kind) - size
+        flat, place, size = self.known(words.dictionary)
+        kind = np.int32 if len(flat) + len(data) < 1 << 30 else np.int64
+        place, size = place.astype(kind), size.astype(kind)
         nth = words.indices.to_numpy(zero_copy_only=False)
         size, place = size[nth], place[nth]
         ends = np.cumsum(size, dtype=kind)
@@ -195,33 +264,68 @@ class _Words(dict):
         return ids[: at[1] - 1].astype("<u4").tobytes()
 
 
-def _letters(data: np.ndarray) -> np.ndarray:
-    """For each byte but the last, whether a Latin letter below U+0100 ends there."""
-    out = _LETTER[data[:-1]]
-    if len(data) > 2:
-        tail = data[1:-1]
-        out[1:] |= (data[:-2] == 0xC3) & (tail != 0x97) & (tail != 0xB7)
-    return out
+def _content(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a column of large strings or binaries, and where each value begins and ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of words of 1 to WORD_BYTES bytes."""
+    if len(bounds) < 2:
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return np.add.reduceat((data + np.uint64(1)) * _FACTORS[at], bounds[:-1])
 
 
-def _stops(data: np.ndarray, space: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Places of one full stop or the like between a letter and white space or the text's end."""
-    out = _STOP[data]
-    if len(data):
-        out[0] = False
-        out[1:] &= _letters(data) & ~begins[1:-1]
-        out &= np.append(space[1:], True) | begins[1:]
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, … of each span."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _after(*groups: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of words (ids, where each word's begin, how many they are) as one."""
+    ids, first, size = zip(*groups, strict=True)
+    before = np.cumsum([0, *map(len, ids)])
+    return np.concatenate(ids), np.concatenate([x + n for x, n in zip(first, before, strict=False)]), np.concatenate(size)
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of a Latin letter below U+0100."""
+    out = _LETTER[data]
+    wide = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    out[:-1] |= wide
+    out[1:] |= wide
     return out
 
 
+def _marks(data: np.ndarray, space: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where one or more punctuation marks begin between a letter and white space or the text's end."""
+    mark = _MARK[data]
+    change = begins.copy()
+    change[1:-1] |= mark[1:] != mark[:-1]
+    at = np.flatnonzero(change[:-1])
+    ends = np.append(at[1:], len(data))
+    runs = mark[at] & ~begins[at]
+    at, ends = at[runs], ends[runs]
+    last, before = data[at - 1], data[np.maximum(at - 2, 0)]
+    letter = _LETTER[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    return at[letter & (begins[ends] | space[np.minimum(ends, len(data) - 1)])]
+
+
 class SpaceDroppingWords(_Words):
     """Word-end BPE that drops white space and lower-cases; a word is a run without ASCII white space."""
 
     def __init__(self, path: str) -> None:
         super().__init__(path, WORD_END_PATTERN)
 
-    def folded(self, word: bytes) -> bytes:
-        return word.lower() if word.isascii() else word.decode().lower().encode()
+    def folded(self, data: np.ndarray) -> np.ndarray:
+        capital = (data >= 65) & (data <= 90)
+        capital[1:] |= (data[:-1] == 0xC3) & (data[1:] < 0x9F)
+        return data + (capital * np.uint8(32))
 
     def pre_tokens(self, word: bytes) -> list[bytes] | None:
         text = word.decode()
@@ -234,9 +338,9 @@ class SpaceDroppingWords(_Words):
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~space
         edge = inside[1:] != inside[:-1]
-        both = np.zeros(len(data) + 1, bool)  # where two words touch: a text's end, a full stop behind a letter
+        both = np.zeros(len(data) + 1, bool)  # where two words touch: a text's end, a punctuation mark behind a letter
         both[bounds] = True
-        both[:-1] |= _stops(data, space, both)
+        both[_marks(data, space, both)] = True
         both &= inside[1:] & inside[:-1]
         first, last = np.flatnonzero((edge & inside[1:]) | both), np.flatnonzero((edge & inside[:-1]) | both)
         for k in np.flatnonzero(self._with_added(data, bounds)).tolist():  # one word each
@@ -271,7 +375,8 @@ class ByteLevelWords(_Words):
         for k in np.unique(np.searchsorted(bounds, np.flatnonzero(kind == 3), "right") - 1).tolist():
             if not unsure[k] and _WIDE_SPACE.search(data[bounds[k] : bounds[k + 1]].tobytes().decode()):
                 unsure[k] = True
-        begins[:-1] |= (kind == 1) | _stops(data, kind == 1, begins)
+        begins[_marks(data, kind == 1, begins)] = True
+        begins[:-1] |= kind == 1
         begins[1:] |= data == _LINE
         if unsure.any():
             begins[:-1] &= ~np.repeat(unsure, np.diff(bounds))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from chunkweave.llm._util import listed, range_of, staged  # noqa: E402
+from chunkweave.llm._util import listed, range_of, sliced, staged  # noqa: E402
 from chunkweave.llm import ann, cdc_fingerprint, langid, packing, secrets, sentencepieces, simhash, substring_dedup, token_store, tokens, warc  # noqa: E402
 
 WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -623,6 +623,55 @@ def test_new_words_cost_few_calls():
         assert [ids[a : z - 1].astype("<u4").tobytes() for a, z in zip(at, at[1:])] == [fresh.whole(t) for t in texts]
 
 
+def test_new_words_are_learned_together():
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopÉß", k=9)) + rng.choice(["", "", "###", "!?"]) for _ in range(500)) for _ in range(8)]
+    for path, byte_level in ((WORD, False), (BYTE, True)):
+        fresh, calls = type(tokens.words_of(path, byte_level))(path), [0]
+        fresh.encode(pa.array(["a"]), 0)
+        sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+        try:
+            ids, at = fresh.encode(pa.array(texts), 0)
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < 8 * 500 / 4  # there was one at least for each new word
+        held = sliced(fresh.text.tobytes(), fresh.bounds)
+        assert b"###" in held and not any(word.endswith(b"###") and len(word) > 3 for word in held)  # marks are words by themselves
+        assert [ids[a : z - 1].astype("<u4").tobytes() for a, z in zip(at, at[1:])] == [fresh.whole(t) for t in texts]
+    assert tokens.words_of(WORD, False).gap is None and tokens.words_of(BYTE, True).gap is not None  # a word-end model's pre-tokens can't be joined
+
+
+def test_punctuation_behind_letters():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "É", "×", "ő", "1", " ", " ", "\n", "\t", "'", "'s", "#", ".", "_", "|>", "<|", "<|endoftext|>", "\u0301"]) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    for path, byte_level in ((WORD, False), (BYTE, True)):
+        w = tokens.words_of(path, byte_level)
+        ids, at = w.encode(pa.array(texts), 7)
+        assert [ids[a : z - 1].astype("<u4").tobytes() for a, z in zip(at, at[1:])] == [w.whole(t) for t in texts]
+
+
+def test_words_used_last_stay(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 8)
+    w = type(tokens.words_of(BYTE, True))(BYTE)
+    for text in ("a b c d e", "a b f g h", "a b i j"):
+        ids, at = w.encode(pa.array([text, "x" * 100]), 7)
+        assert [ids[y : z - 1].astype("<u4").tobytes() for y, z in zip(at, at[1:])] == [w.whole(text), w.whole("x" * 100)]
+        held = sliced(w.text.tobytes(), w.bounds)
+        assert len(set(held)) == len(held) == len(w.first) == len(w.size) == len(w.used) == len(w.hashes) <= 8 and len(w.ids) == w.size.sum()
+        assert all(w.ids[a : a + n].astype("<u4").tobytes() == w.whole(word.decode()) for word, a, n in zip(held, w.first, w.size))
+        known, bounds = tokens._content(pa.array(held, pa.large_binary()))
+        assert w.find(known, bounds, tokens._hashes(known, bounds)).tolist() == list(range(len(held)))
+    assert {b"a", b" b", b" i", b" j"} <= set(held)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "_FACTORS", np.ones(tokens.WORD_BYTES, np.uint64))
+    w = type(tokens.words_of(BYTE, True))(BYTE)
+    for text in ("ab ba c", "ba ab ac", "ca ab ba", "bb ac ca ab"):
+        ids, at = w.encode(pa.array([text]), 7)
+        assert ids[:-1].astype("<u4").tobytes() == w.whole(text)
+
+
 def test_chunks_of_a_batch_are_those_of_its_texts():
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, 50_000, n, np.uint32) for n in (0, 1, 63, 64, 65, 3000, 700, 5000)] + [np.full(4000, 7, np.uint32)]
